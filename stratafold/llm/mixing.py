@@ -48,7 +48,8 @@ def source_targets(
     Sources ordered by code point, nulls last, take the weights in turn. The targets share
     ``share`` times the total by weight, none above ``cap`` times its source's size: with the
     sources ordered by cap / weight, the level is the first at which the next source is not
-    yet full, which is where resharing the excess again and again ends.
+    yet full, which is where resharing the excess again and again ends. Past that source the
+    levels only fall, so the first such level is also the greatest.
     """
     n = len(weights)
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -69,7 +70,7 @@ def source_targets(
     )
     level = F.col("left") / F.col("w_left")
     one = one.withColumn(
-        "level", F.min(F.when(level <= F.col("full") / F.col("w"), level)).over(everything)
+        "level", F.max(F.when(level <= F.col("full") / F.col("w"), level)).over(everything)
     )
     target = F.when(F.col("level").isNull(), F.col("full")).otherwise(
         F.least(F.col("full"), F.col("level") * F.col("w"))
@@ -150,7 +151,7 @@ l AS (SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
              sum(w) OVER () - coalesce(sum(w) OVER r, 0.0::DOUBLE) AS w_rest
       FROM w WINDOW r AS (ORDER BY full_size / w, source NULLS LAST
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, min(CASE WHEN rest / w_rest <= full_size / w THEN rest / w_rest END) OVER () AS level FROM l),
+t AS (SELECT *, max(CASE WHEN rest / w_rest <= full_size / w THEN rest / w_rest END) OVER () AS level FROM l),
 g AS (SELECT source, source_size,
              CASE WHEN level IS NULL THEN full_size ELSE least(full_size, level * w) END AS target FROM t),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM g)
