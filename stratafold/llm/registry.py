@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from stratafold.llm import decontam, mixing
+from stratafold.llm import bitplanes, decontam, langid, mixing, quality
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_token_planes": bitplanes.op4_token_planes,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op9_quality_cascade": quality.op9_quality_cascade,
 }
 ORACLES = {
     "op3_decontaminate": decontam.OP3_SQL,
