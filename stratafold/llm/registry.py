@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stratafold.llm import bitplanes, decontam, langid, mixing, quality
+from stratafold.llm import bitplanes, chat, decontam, langid, mixing, quality
 
 QUERIES = {
+    "op10_chat_format": chat.op10_chat_format,
     "op2_language_id": langid.op2_language_id,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_token_planes": bitplanes.op4_token_planes,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_quality_cascade": quality.op9_quality_cascade,
 }
 ORACLES = {
+    "op10_chat_format": chat.OP10_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
 }
