@@ -1,2 +1,61 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""Training-data pipeline over ``documents``: five stages, each written as Parquet and reread.
+
+Belongs to the package's llm part. Each stage takes (spark, docs, sf_dir) and returns a
+DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stratafold.llm import bitplanes, decontam, jaccard, langid, mixing
+from stratafold.llm._common import scratch, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be identified go."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near duplicates the document with the least id stays."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, as their sources' targets ask."""
+    return mixing.mix_documents(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids are written as bit planes; what is read back is returned."""
+    return bitplanes.tokenised(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token_files", token_files),
+]
+
+#: Language models, classes of near duplicates and token ids are beyond SQL: tests/llm/test_pipeline.py
+#: holds the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = scratch(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

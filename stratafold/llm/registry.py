@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stratafold.llm import bitplanes, chat, decontam, langid, mixing, pii, quality
+from stratafold.llm import bitplanes, chat, decontam, jaccard, langid, mixing, pii, quality
 
 QUERIES = {
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_pii_boosted": pii.op8_pii_boosted,
     "op10_chat_format": chat.op10_chat_format,
     "op2_language_id": langid.op2_language_id,
