@@ -34,6 +34,11 @@ def words(col: Column | str) -> Column:
     return F.array_remove(F.split(F.translate(text_or_empty(col), UPPER, LOWER), SEPARATORS), "")
 
 
+def _part(array: str, first: str, count: str) -> str:
+    """SQL for a part of an array; slice() would copy the whole array each time."""
+    return f"transform(sequence({first}, {first} + ({count}) - 1), t -> get({array}, t))"
+
+
 def _least_hashes(k: int, window: int) -> list[Column]:
     """From the column __w (words): __m, the least of each window's k-word hashes."""
     gram = ", ".join(["x", *(f"get(__w, i + {j})" for j in range(1, k))])
@@ -50,7 +55,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, k: int, window: i
     w = items.select(F.col(id_col).alias("__item"), words(text_col).alias("__w")).where("size(__w) > 0")
     w = w.select("*", h).select("*", m)
     long = w.where(f"size(__w) >= {window}").select("__item", "__w", F.posexplode("__m").alias("__j", "fp"))
-    long = long.select("__item", "fp", F.expr(f"array_join(slice(__w, __j + 1, {window}), ' ')").alias("win"), F.lit(window).alias("len"))
+    long = long.select("__item", "fp", F.expr(f"array_join({_part('__w', '__j', str(window))}, ' ')").alias("win"), F.lit(window).alias("len"))
     short = w.where(f"size(__w) < {window}").select(
         "__item", F.expr("array_join(__w, ' ')").alias("win"), F.size("__w").alias("len")
     ).withColumn("fp", F.xxhash64("len", "win")).select("__item", "fp", "win", "len")
@@ -86,12 +91,12 @@ def find_hits(
     d = d.withColumn("__s", F.expr("if(size(__m) = 0, cast(array() as array<int>), filter(sequence(0, size(__m) - 1), i -> i = 0 or __m[i] != __m[i - 1]))"))
     runs = F.expr(
         "transform(__s, (s, i) -> named_struct('fp', __m[s], 'j', s, 'len', " + f"{window}"
-        + f", 'ctx', slice(__w, s + 1, coalesce(get(__s, i + 1), size(__m)) - s + {window - 1})))"
+        + f", 'ctx', {_part('__w', 's', f'coalesce(get(__s, i + 1), size(__m)) - s + {window - 1}')}))"
     )
     for n in short:
         runs = F.concat(runs, F.expr(
             f"if(size(__w) < {n}, cast(array() as array<struct<fp: bigint, j: int, len: int, ctx: array<string>>>), transform(sequence(0, size(__w) - {n}), "
-            f"i -> named_struct('fp', xxhash64({n}, array_join(slice(__w, i + 1, {n}), ' ')), 'j', i, 'len', {n}, 'ctx', slice(__w, i + 1, {n}))))"
+            f"i -> named_struct('fp', xxhash64({n}, array_join({_part('__w', 'i', str(n))}, ' ')), 'j', i, 'len', {n}, 'ctx', {_part('__w', 'i', str(n))})))"
         ))
     d = d.select("__id", "__key", F.explode(runs).alias("__r")).select("__id", "__key", "__r.*")
     d = d.join(near(wins.select("fp").distinct()), "fp", "left_semi")
