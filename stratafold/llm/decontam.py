@@ -54,7 +54,8 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, k: int, window: i
     h, m = _least_hashes(k, window)
     w = items.select(F.col(id_col).alias("__item"), words(text_col).alias("__w")).where("size(__w) > 0")
     w = w.select("*", h).select("*", m)
-    long = w.where(f"size(__w) >= {window}").select("__item", "__w", F.posexplode("__m").alias("__j", "fp"))
+    # outer: else the optimizer repeats all of __m's making in a filter on its size
+    long = w.where(f"size(__w) >= {window}").select("__item", "__w", F.posexplode_outer("__m").alias("__j", "fp")).where("fp is not null")
     long = long.select("__item", "fp", F.expr(f"array_join({_part('__w', '__j', str(window))}, ' ')").alias("win"), F.lit(window).alias("len"))
     short = w.where(f"size(__w) < {window}").select(
         "__item", F.expr("array_join(__w, ' ')").alias("win"), F.size("__w").alias("len")
