@@ -49,7 +49,7 @@ from stratafold.llm._common import scratch, table
 MAGIC = b"SFP1"
 BYTE_PLANES, BIT_PLANES = 1, 2
 #: ids of a block, ids after which a chunk is closed, words in a worker's cache.
-BLOCK, CHUNK_IDS, CACHE_WORDS = 1 << 14, 1 << 18, 1 << 20
+BLOCK, CHUNK_IDS, CACHE_WORDS = 1 << 14, 1 << 18, 1 << 19
 _HEAD = struct.Struct("<4sBBHIQI")
 
 
@@ -110,11 +110,22 @@ class WordEncoder:
         self.cache_words = cache_words
         self.clear()
 
+        tails = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"]
+        self.tails = np.asarray([0, *(t[0] for t in tails)], np.uint32) if all(len(t) == 1 for t in tails) else None
+        self.clear()
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def keep(self, words: list[str]) -> None:
+        """Forget all but these."""
+        words = [w for w in words if w in self.at]
+        entry = np.fromiter((self.at[w] for w in words), np.int64, len(words))
+        self.ids, self.ends = _gather(self.ids, self.ends, entry)
+        self.at = dict(zip(words, range(len(words)), strict=True))
+
     def learn(self, words: list[str]) -> None:
         ids, sizes = [self.ids], [np.diff(self.ends)]
         for i in range(0, len(words), 4096):
@@ -127,21 +138,52 @@ class WordEncoder:
         self.ids = np.concatenate(ids)
         self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
+    def forms(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What each word is looked up as, and the full stop (1) or comma (2) taken off its end.
+
+        Of ASCII words only, where both steps leave the ids as they are: the vocabulary's
+        normalizer lowers case anyway, and its pre-tokenizer parts a letter or digit from a
+        stop. Words that might hold a special token keep their case.
+        """
+        tail = np.zeros(len(words), np.int64)
+        if self.tails is None or not len(words):
+            return words, tail
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        ends = pc.and_(plain, pc.match_substring_regex(words, "[a-z0-9][.,]$"))
+        stop = np.asarray(pc.ends_with(words, "."))
+        tail = np.where(np.asarray(ends), np.where(stop, 1, 2), 0)
+        return pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words), tail
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
         split = pc.ascii_split_whitespace(texts)
         word_ends = np.asarray(split.offsets).astype(np.int64)
         coded = split.values.slice(word_ends[0], word_ends[-1] - word_ends[0]).dictionary_encode()
         word_ends = word_ends - word_ends[0]
-        own = coded.dictionary.to_pylist()
-        if len(self.at) + len(own) > self.cache_words:
-            self.clear()
-        self.learn([w for w in own if w not in self.at])
-        entry = np.fromiter((self.at[w] for w in own), np.int64, len(own))[np.asarray(coded.indices)] if own else np.zeros(0, np.int64)
-        start, size = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
-        done = np.concatenate([[0], np.cumsum(size)])
-        gather = np.arange(done[-1]) + np.repeat(start - done[:-1], size)
-        return self.ids[gather], done[word_ends[1:]] - done[word_ends[:-1]]
+        forms, tail = self.forms(coded.dictionary)
+        forms = forms.dictionary_encode()
+        own = forms.dictionary.to_pylist()
+        new = [w for w in own if w not in self.at]
+        if len(self.at) + len(new) > self.cache_words:
+            self.keep(own)
+        self.learn(new)
+        entry = np.fromiter((self.at[w] for w in own), np.int64, len(own))
+        # the ids of each different word of the batch, its tail put back, then those of all words
+        ids, ends = _gather(self.ids, self.ends, entry[np.asarray(forms.indices)] if own else entry)
+        if tail.any():
+            ids = np.insert(ids, ends[1:][tail > 0], self.tails[tail[tail > 0]])
+            ends = ends + np.concatenate([[0], np.cumsum(tail > 0)])
+        ids, done = _gather(ids, ends, np.asarray(coded.indices))
+        return ids, done[word_ends[1:]] - done[word_ends[:-1]]
+
+
+def _gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those rows of ragged values, and their ends."""
+    start = ends[:-1][rows]
+    size = ends[1:][rows] - start
+    done = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return values[np.arange(done[-1]) + np.repeat(start - done[:-1], size)], done
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -27,7 +28,7 @@ def test_broken_payloads():
         bitplanes.decode_planes(b"XXXX" + payload[4:])
 
 
-ODD = [None, "", "   ", "á b", "It's we'll DON'T", "x<|endoftext|>y <|startoftext|>", "日本　語 🙂", "a b c\x1fd", "ΟΔΟΣ ΟΔΟΣ.", "́ combining first", "1234567890 12.5%", "q" * 50_000, "İstanbul ǅ ŉ"]
+ODD = [None, "", "   ", "á b", "It's we'll DON'T", "x<|endoftext|>y <|startoftext|>", "日本　語 🙂", "a b c\x1fd", "ΟΔΟΣ ΟΔΟΣ.", "́ combining first", "1234567890 12.5%", "q" * 50_000, "İstanbul ǅ ŉ", "H\u0331. h\u0331, A\u0301.", "<|ENDOFTEXT|>, <|endoftext|>.", "a., .a a.. 1. 2, é. É, x's. X'S, '. ,. U.S.A.", "\u00a0a.\u2003B,"]
 
 
 @pytest.mark.parametrize("mode", [1, 2])
@@ -50,6 +51,15 @@ def test_files_hold_the_tokenizers_ids(spark, mode):
         assert digests[name, at] == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
 
 
+def test_a_small_cache_changes_nothing():
+    texts = pa.array([f"w{i % 7} W{i}. tail, {i}" for i in range(500)], pa.large_string())
+    small, large = bitplanes.WordEncoder(VOCABULARY, 50), bitplanes.WordEncoder(VOCABULARY)
+    for i in range(0, 500, 20):
+        a, b = small.encode(texts.slice(i, 20)), large.encode(texts.slice(i, 20))
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    assert len(small.at) < 200
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bitplanes.tokenised(docs).collect() == []
