@@ -36,6 +36,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ MAGIC = b"SFP1"
 BYTE_PLANES, BIT_PLANES = 1, 2
 #: ids of a block, ids after which a chunk is closed, words in a worker's cache.
 BLOCK, CHUNK_IDS, CACHE_WORDS = 1 << 14, 1 << 18, 1 << 19
+#: Bytes of text that are tokenised at a time (or one longer text).
+PIECE_BYTES = 8 << 20
 _HEAD = struct.Struct("<4sBBHIQI")
 
 
@@ -119,11 +122,14 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def entries(self, words: list[str]) -> np.ndarray:
+        """Where the cache has them; -1: nowhere."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
     def keep(self, words: list[str]) -> None:
         """Forget all but these."""
         words = [w for w in words if w in self.at]
-        entry = np.fromiter((self.at[w] for w in words), np.int64, len(words))
-        self.ids, self.ends = _gather(self.ids, self.ends, entry)
+        self.ids, self.ends = _gather(self.ids, self.ends, self.entries(words))
         self.at = dict(zip(words, range(len(words)), strict=True))
 
     def learn(self, words: list[str]) -> None:
@@ -164,11 +170,13 @@ class WordEncoder:
         forms, tail = self.forms(coded.dictionary)
         forms = forms.dictionary_encode()
         own = forms.dictionary.to_pylist()
-        new = [w for w in own if w not in self.at]
-        if len(self.at) + len(new) > self.cache_words:
+        entry = self.entries(own)
+        if len(self.at) + np.count_nonzero(entry < 0) > self.cache_words:
             self.keep(own)
-        self.learn(new)
-        entry = np.fromiter((self.at[w] for w in own), np.int64, len(own))
+            entry = self.entries(own)
+        unknown = np.flatnonzero(entry < 0)
+        entry[unknown] = len(self.at) + np.arange(len(unknown))
+        self.learn([own[i] for i in unknown])
         # the ids of each different word of the batch, its tail put back, then those of all words
         ids, ends = _gather(self.ids, self.ends, entry[np.asarray(forms.indices)] if own else entry)
         if tail.any():
@@ -253,7 +261,7 @@ def write_tokens(
         for batch in batches:
             texts = B.strings(batch.column(1))
             names = batch.column(0).to_pylist()
-            for i, j in _pieces(texts, 4 << 20):
+            for i, j in _pieces(texts, PIECE_BYTES):
                 ids, sizes = encoder.encode(texts.slice(i, j - i))
                 ends = np.cumsum(sizes)
                 out = np.insert(ids, ends, np.uint32(end_id))  # after each document
