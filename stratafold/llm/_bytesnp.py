@@ -6,7 +6,9 @@ is a slice of its own), and every function works on one slice's UTF-8 bytes at o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,23 @@ IS_WS[[0x20, *range(0x09, 0x0E)]] = True
 IS_START = (np.arange(256) & 0xC0) != 0x80
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """f for mapInArrow, with what its worker has freed given back to the system at its end.
+
+    Workers are reused by later stages, whose memory would otherwise come on top.
+    """
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return g
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(33))
     h = h * _MIX1

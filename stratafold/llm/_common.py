@@ -33,6 +33,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000, which whole texts overfill.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and its JVM side hold at a time; a value set by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
-from stratafold.llm._common import scratch, table
+from stratafold.llm._common import scratch, small_batches, table
 
 MAGIC = b"SFP1"
 BYTE_PLANES, BIT_PLANES = 1, 2
@@ -218,6 +218,22 @@ def _pieces(col: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of successive batches, until they have `most` bytes."""
+    names: list = []
+    texts: list[pa.Array] = []
+    held = 0
+    for batch in batches:
+        names += batch.column(0).to_pylist()
+        texts.append(B.strings(batch.column(1)))
+        held += texts[-1].nbytes
+        if held >= most:
+            yield names, pa.concat_arrays(texts)
+            names, texts, held = [], [], 0
+    if names:
+        yield names, pa.concat_arrays(texts)
+
+
 CHUNKS = "shard int, chunk long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"
 
 
@@ -236,6 +252,7 @@ def write_tokens(
 ) -> None:
     """Write the ids of all documents, in ascending order of their ids, below path."""
     spark = docs.sparkSession
+    small_batches(spark)
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = picked.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
@@ -258,9 +275,7 @@ def write_tokens(
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for batch in batches:
-            texts = B.strings(batch.column(1))
-            names = batch.column(0).to_pylist()
+        for names, texts in _merged(batches, PIECE_BYTES):
             for i, j in _pieces(texts, PIECE_BYTES):
                 ids, sizes = encoder.encode(texts.slice(i, j - i))
                 ends = np.cumsum(sizes)
@@ -280,7 +295,7 @@ def write_tokens(
         if held_ids:
             yield close()
 
-    ordered.mapInArrow(run, CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    ordered.mapInArrow(B.tidy(run), CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     got = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     # a row for each shard: their number is this function's parameter
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -307,7 +322,7 @@ def _read(spark: SparkSession, path: str, kind: str, of_chunk: Callable) -> Data
                 ends = np.cumsum(sizes)
                 yield of_chunk(row["doc_ids"], row["start"] + ends - sizes, sizes, ids, ends)
 
-    return joined.mapInArrow(run, kind)
+    return joined.mapInArrow(B.tidy(run), kind)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

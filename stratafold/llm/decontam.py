@@ -28,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: More item windows than this are joined by a shuffle and not broadcast (about 100 bytes each).
 MAX_BROADCAST_WINDOWS = 500_000
+#: More documents with hits than this are taken out by a shuffle of the texts (16 bytes each).
+MAX_BROADCAST_HITS = 1_000_000
 
 
 def words(col: Column | str) -> Column:
@@ -152,6 +154,8 @@ def report(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that hold a window of an item; the same columns."""
     hits = find_hits(docs, items, id_col=id_col, text_col=text_col, **options).select("__id", "__key")
+    hits = cut(hits)
+    hits = F.broadcast(hits) if hits.count() <= MAX_BROADCAST_HITS else hits
     key = F.xxhash64(text_or_empty(docs[text_col]))
     return docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (key == hits["__key"]), "left_anti")
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
-from stratafold.llm._common import cut, table
+from stratafold.llm._common import cut, small_batches, table
 
 THRESHOLD, SHINGLE, BANDS, ROWS = 0.8, 5, 40, 5
 STEP, TOLERANCE, BLOCK = 40, 1e-7, 128
@@ -123,7 +123,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, set_id binary, node long, bands array<bigint>")
+    return picked.mapInArrow(B.tidy(run), f"doc_id {kind}, set_id binary, node long, bands array<bigint>")
 
 
 # --- connected components ------------------------------------------------------------------
@@ -280,11 +280,12 @@ def _links(units: DataFrame, threshold: float) -> DataFrame:
     spark = units.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = units.select(*keys, "blk", "set_id", "text").repartition(n, *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "set_id binary, links long, tie binary")
+    return dealt.mapInArrow(B.tidy(run), "set_id binary, links long, tie binary")
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, class_id, n_links, n_copies) for every row of docs."""
+    small_batches(docs.sparkSession)
     feats = cut(_features(docs, id_col, text_col))
     sets = feats.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("node").alias("node"), F.first("bands").alias("bands")
@@ -326,9 +327,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id stay as one of them (the least by the other columns).
     """
     classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    heads = classes.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__head")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["__head"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    heads = cut(classes.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__head")))
+    once = heads.distinct()
+    kept = docs.join(once, docs[id_col].eqNullSafe(once["__head"]), "left_semi")
+    # texts are shuffled by id a second time only where ids repeat
+    return kept if heads.count() == once.count() else kept.dropDuplicates([id_col])
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
-from stratafold.llm._common import table
+from stratafold.llm._common import small_batches, table
 
 UNDETERMINED = "und"
 #: Bins of the n-grams of each order.
@@ -160,6 +160,7 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     Two scans: languages are counted, then about ``rows`` texts, as many of each language as
     there are up to an even share, are sampled by a hash of their ids.
     """
+    small_batches(docs.sparkSession)
     usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # a row for each language
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(rows).collect()}
@@ -180,7 +181,7 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
                 rows_ += [packed[i].tobytes() if piece.has_letter[i] else None for i in range(piece.texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows_, pa.binary())], names=["h", "y", "x"])
 
-    got = picked.mapInArrow(bits, "h long, y string, x binary").where("x is not null").orderBy("h").limit(2 * rows).collect()
+    got = picked.mapInArrow(B.tidy(bits), "h long, y string, x binary").where("x is not null").orderBy("h").limit(2 * rows).collect()
     taken: dict[str, int] = {}
     kept = []
     for r in got:
@@ -195,6 +196,7 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", carry: Sequence[str] = (), lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """carry's columns, the language of every text, and its score from 0 to 1."""
+    small_batches(docs.sparkSession)
     picked = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", car
             yield pa.RecordBatch.from_arrays(cols, names=[*(f"__c{i}" for i in range(len(carry))), lang_name, score_name])
 
     kinds = [f"__c{i} {picked.schema[i].dataType.simpleString()}" for i in range(len(carry))]
-    out = picked.mapInArrow(run, ", ".join([*kinds, f"{lang_name} string", f"{score_name} double"]))
+    out = picked.mapInArrow(B.tidy(run), ", ".join([*kinds, f"{lang_name} string", f"{score_name} double"]))
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], lang_name, score_name)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
-from stratafold.llm._common import table
+from stratafold.llm._common import small_batches, table
 
 #: Rows on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -166,8 +166,8 @@ def cascade(s: B.Slice, rules: Sequence[Rule], spent: np.ndarray | None = None)
 def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds per text, share rejected) of every rule alone on a sample of the texts.
 
-    The sample is the first rows that the scan delivers: it only decides the order of the
-    rules, which no verdict depends on.
+    The sample is drawn row by row in the scan, so nothing is shuffled but a row for each rule
+    and task. It only decides the order of the rules, which no verdict depends on.
     """
     rules = list(rules)
 
@@ -180,8 +180,8 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sam
         yield pa.RecordBatch.from_pydict({"i": list(range(len(rules))), "s": spent[:, 0].tolist(), "n": spent[:, 1].tolist(), "bad": spent[:, 2].tolist()})
 
     got = (
-        docs.select(text_col).limit(sample_rows)
-        .mapInArrow(measure, "i long, s double, n double, bad double")
+        docs.select(text_col).sample(min(1.0, sample_rows / max(1, docs.count())), seed=1)
+        .mapInArrow(B.tidy(measure), "i long, s double, n double, bad double")
         .groupBy("i").agg(F.sum("s"), F.sum("n"), F.sum("bad")).orderBy("i").collect()
     )
     return [(rules[r[0]].name, r[1] / max(r[2], 1), r[3] / max(r[2], 1)) for r in got]
@@ -200,6 +200,7 @@ def verdicts(
     """carry's columns, the named features (for every text), and the rule that rejects (null: kept)."""
     rules = ordered_rules(docs, default_rules() if rules is None else rules, text_col, sample_rows)
     names = [r.name for r in rules]
+    small_batches(docs.sparkSession)
     picked = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def verdicts(
             yield pa.RecordBatch.from_arrays(cols, names=[*(f"__c{i}" for i in range(len(carry))), *features, as_name])
 
     kinds = [f"__c{i} {picked.schema[i].dataType.simpleString()}" for i in range(len(carry))]
-    out = picked.mapInArrow(run, ", ".join([*kinds, *(f"{x} bigint" for x in features), f"{as_name} string"]))
+    out = picked.mapInArrow(B.tidy(run), ", ".join([*kinds, *(f"{x} bigint" for x in features), f"{as_name} string"]))
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], *features, as_name)
 
 

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm._common import cut, table
+from stratafold.llm import _bytesnp as B
+from stratafold.llm._common import cut, small_batches, table
 
 GROUP, SUPPORT, AGREEMENT = 64, 8, 0.9
 #: Deeper trees are not aligned, and longer rests of sibling lists (cells of the table) only at their ends.
@@ -371,6 +372,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     part = F.pmod(F.xxhash64(F.lit("part"), "id", "url"), F.coalesce("parts", F.lit(1)))
     p = p.select("host", part.cast("int").alias("part"), "id", "url", "html")
     spark = pages.sparkSession
+    small_batches(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = p.repartition(n, "host", "part").sortWithinPartitions("host", "part", "id", "url")
     kind = p.schema["id"].dataType.simpleString()
@@ -398,7 +400,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         if held:
             yield solve(held)
 
-    out = dealt.mapInArrow(run, f"id {kind}, url string, text string, n_chars long, template_nodes long")
+    out = dealt.mapInArrow(B.tidy(run), f"id {kind}, url string, text string, n_chars long, template_nodes long")
     return out.withColumnRenamed("id", id_col)
 
 
