@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.functions.running import running_before
 from stratafold.functions.scalars import extension
-from stratafold.sources.catalog import path
+from stratafold.sources.catalog import id_range, path
 
 #: Letters of sort orders.
 ORDERS = {"g": "grp", "e": "ext", "n": "name", "p": "dir", "s": "size"}
@@ -72,13 +73,24 @@ def join_archives(archives: list[DataFrame]) -> DataFrame:
 
 
 def ranked(f: DataFrame, order: str, group: str | None = None) -> DataFrame:
-    """f with ``pos``: its place in a sort order such as ``gen`` or ``ges``, within its group."""
+    """f with ``pos``: its place in a sort order such as ``gen`` or ``ges``, within its group.
+
+    A group is ranked in ranges: its keys up to the first name or size, cut to the name's first
+    four characters or to 256 octets.
+    """
     unknown = set(order) - set(ORDERS)
     if unknown:
         raise ValueError(f"no meaning is known for the sort letters {sorted(unknown)}")
     f = f.withColumn("ext", extension(F.col("name")))
     keys = [ORDERS[c] for c in order] + ["file_id"]
-    return f.withColumn("pos", F.row_number().over(Window.partitionBy(group or ORDERS[order[0]]).orderBy(*keys)).cast("long"))
+    coarse = []
+    for k in keys:
+        coarse.append({"name": F.substring("name", 1, 4), "size": F.floor(F.col("size") / 256), "file_id": id_range("file_id")}.get(k, F.col(k)))
+        if k in ("name", "size", "file_id"):
+            break
+    within = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(coarse)])
+    out = running_before(f, F.lit(1).cast("long"), [group or ORDERS[order[0]]], keys, within, "pos")
+    return out.withColumn("pos", F.col("pos") + 1)
 
 
 def first_matching_mask(names: DataFrame, masks: list[tuple[int, str, str]], name: str) -> DataFrame:

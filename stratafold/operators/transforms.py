@@ -7,14 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.functions.running import running_before, value_before
 
-def diff(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str = "diff") -> DataFrame:
-    """df with the difference from the value before, the first from 0."""
+
+def diff(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str = "diff", within: Column | None = None) -> DataFrame:
+    """df with the difference from the value before, the first from 0.
+
+    within: a column that never falls along the order, by whose ranges hot keys are split.
+    """
+    if within is not None:
+        out = value_before(df, value, keys, order, within, "_before")
+        return out.withColumn(name, F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.col(value) - F.lag(value, 1, 0).over(w))
 
 
-def undiff(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str = "value") -> DataFrame:
+def undiff(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str = "value", within: Column | None = None) -> DataFrame:
+    """df with the running sum, which undoes diff; within as there."""
+    if within is not None:
+        return running_before(df, F.col(value), keys, order, within, name).withColumn(name, F.col(name) + F.col(value))
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(value).over(w))
 

@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 #: SQL of the catalog, of its solid blocks and of their packed sizes.
 _F = """f AS (SELECT doc_id AS file_id, concat_ws('/', lang, source) AS dir, doc_id || '.txt' AS name,
-  CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, lang AS grp, source FROM documents)"""
+  CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, coalesce(lang, '') AS grp, source FROM documents)"""
 _B = _F + """, b AS (SELECT *, CAST(floor((CAST(sum(size) OVER (PARTITION BY grp ORDER BY file_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size) / 65536) AS BIGINT) AS block FROM f)"""
 _K = _B + """, k AS (SELECT grp, block, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(size) AS BIGINT) AS orig_size,
   CAST(floor(sum(size) / 3) + 16 AS BIGINT) AS packed_size FROM b GROUP BY grp, block)"""
@@ -26,6 +26,10 @@ _P = _K + """, p AS (SELECT b.*, CASE WHEN file_id = min(file_id) OVER (PARTITIO
   FROM b JOIN k USING (grp, block) WHERE source <> 'src3')"""
 
 
+#: Ranges of the events' order, by which a hot user is split.
+_DAY = F.expr("CAST(ts AS DATE)")
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name."""
 
@@ -248,8 +252,7 @@ def solid_by_bytes(spark, d):
 
 @query(f"WITH {_F} SELECT file_id, grp, CAST(floor((row_number() OVER (PARTITION BY grp ORDER BY file_id) - 1) / 10) AS BIGINT) AS block FROM f")
 def solid_by_count(spark, d):
-    k = F.row_number().over(Window.partitionBy("grp").orderBy("file_id"))
-    return _files(spark, d).select("file_id", "grp", F.floor((k - 1) / 10).cast("long").alias("block"))
+    return K.blocks_of(_files(spark, d), 10).select("file_id", "grp", "block")
 
 
 @query("SELECT CASE WHEN regexp_extract(url, '[.]([a-z]+)$', 1) = '' THEN 'none' ELSE regexp_extract(url, '[.]([a-z]+)$', 1) END AS ext, CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS size FROM pages GROUP BY 1")
@@ -337,13 +340,13 @@ def dup_groups(spark, d):
 
 @query("SELECT event_id, round(value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 6) AS diff FROM events")
 def delta_events(spark, d):
-    return T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"]).select("event_id", F.round("diff", 6).alias("diff"))
+    return T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], within=_DAY).select("event_id", F.round("diff", 6).alias("diff"))
 
 
 @query("SELECT event_id, round(value, 6) AS value FROM events")
 def undelta_events(spark, d):
-    e = T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"]).drop("value")
-    return T.undiff(e, "diff", ["user_id"], ["ts", "event_id"]).select("event_id", F.round("value", 6).alias("value"))
+    e = T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], within=_DAY).drop("value")
+    return T.undiff(e, "diff", ["user_id"], ["ts", "event_id"], within=_DAY).select("event_id", F.round("value", 6).alias("value"))
 
 
 @query("WITH x AS (SELECT lag(l_linenumber) OVER w <> l_linenumber AS a, lag(l_returnflag) OVER w <> l_returnflag AS b, lag(l_linestatus) OVER w <> l_linestatus AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate)), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE c) AS c FROM x) SELECT v.name AS \"column\", CAST(v.k AS BIGINT) AS changes, CAST(n AS BIGINT) AS rows, v.k * 4 < n AS immutable FROM s, LATERAL (VALUES ('l_linenumber', s.a), ('l_returnflag', s.b), ('l_linestatus', s.c)) v(name, k)")

@@ -7,10 +7,14 @@ blocks of about ``limit`` octets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafold.functions.running import running_before
+
 BLOCK_LIMIT = 65536
+#: Ids in one range of a running sum.
+ID_SPAN = 65536
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +31,7 @@ def files(docs: DataFrame) -> DataFrame:
         F.octet_length(text).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.lit(False).alias("isdir"),
-        F.col("lang").alias("grp"),
+        F.coalesce("lang", F.lit("")).alias("grp"),
         F.col("source").alias("source"),
     )
 
@@ -40,8 +44,17 @@ def path(dir_col: Column, name: Column) -> Column:
 def solid_blocks(f: DataFrame, limit: int = BLOCK_LIMIT, group: str = "grp", order: str = "file_id") -> DataFrame:
     """f with ``block``: octets before a file in its group, in units of the limit.
 
-    A running sum in each group. A group here is a type of files; where one holds a large part
-    of all rows, pass a finer group (such as a range of ids) and the blocks stay local to it.
+    ``order`` is a whole number; groups run in ranges of it.
     """
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return f.withColumn("block", F.floor((F.sum("size").over(w) - F.col("size")) / F.lit(limit)).cast("long"))
+    out = running_before(f, F.col("size"), [group], [order], id_range(order), "block")
+    return out.withColumn("block", F.floor(F.col("block") / F.lit(limit)).cast("long"))
+
+
+def blocks_of(f: DataFrame, count: int, group: str = "grp", order: str = "file_id") -> DataFrame:
+    """f with ``block``: every ``count`` files of a group."""
+    out = running_before(f, F.lit(1).cast("long"), [group], [order], id_range(order), "block")
+    return out.withColumn("block", F.floor(F.col("block") / F.lit(count)).cast("long"))
+
+
+def id_range(order: str) -> Column:
+    return F.floor(F.col(order) / F.lit(ID_SPAN))
