@@ -73,3 +73,39 @@ def encrypted_by_substring(chain: Column) -> Column:
 
 def floored_mod(a: Column, b: Column) -> Column:
     return a - F.floor(a / b) * b
+
+
+def chain_memory(chain: Column) -> Column:
+    """The sum over a chain's methods of their first parameter as memory; methods without one take 0."""
+    return F.aggregate(methods(chain), F.lit(0).cast("long"), lambda a, m: a + F.coalesce(parse_mem(F.get(m["params"], F.lit(0))), F.lit(0).cast("long")))
+
+
+def limit_memory(chain: Column, cap: int) -> Column:
+    """The chain with no method's first parameter above ``cap`` octets; what is lower stays as written."""
+
+    def one(m: Column) -> Column:
+        first = F.get(m["params"], F.lit(0))
+        mem = parse_mem(first)
+        lower = F.when(mem > cap, show_mem(F.lit(cap).cast("long"))).otherwise(first)
+        return F.concat_ws(":", m["name"], lower, F.array_join(F.slice(m["params"], 2, 100), ":"))
+
+    return F.array_join(F.transform(methods(chain), lambda m: F.regexp_replace(one(m), ":+$", "")), "+")
+
+
+def recovery_size(setting: Column, size: Column) -> Column:
+    """Octets of recovery data: a percentage of the archive, rounded up, or an amount of memory."""
+    percent = F.regexp_extract(setting, r"^([0-9]+(\.[0-9]+)?)%$", 1)
+    return F.when(percent != "", F.ceil(size * percent.try_cast("decimal(9,3)") / 100).cast("long")).otherwise(parse_mem(setting))
+
+
+def to_stream(method: Column, payload: Column) -> Column:
+    """A self-describing stream: the method's name, a zero octet, the payload."""
+    return F.concat(F.encode(method, "UTF-8"), F.lit(b"\0"), payload)
+
+
+def stream_method(stream: Column) -> Column:
+    return F.decode(F.unhex(F.regexp_extract(F.hex(stream), "^((?:..)*?)00", 1)), "UTF-8")
+
+
+def stream_payload(stream: Column) -> Column:
+    return F.unhex(F.regexp_replace(F.hex(stream), "^(?:..)*?00", ""))

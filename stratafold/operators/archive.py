@@ -105,3 +105,43 @@ def first_matching_mask(names: DataFrame, masks: list[tuple[int, str, str]], nam
 
 def full_path(f: DataFrame) -> DataFrame:
     return f.withColumn("path", path(F.col("dir"), F.col("name")))
+
+
+def extract_plan(archived: DataFrame, present: DataFrame, policy: str) -> DataFrame:
+    """archived files (path, mtime) with ``action`` against what is on disk (path, mtime).
+
+    policy: ``overwrite``, ``skip`` what is there, or ``update`` what is older there.
+    """
+    there = present.select("path", F.col("mtime").alias("there"))
+    exists = F.col("there").isNotNull()
+    replace = {"overwrite": F.lit(True), "skip": F.lit(False), "update": F.col("mtime") > F.col("there")}[policy]
+    action = F.when(~exists, "create").when(replace, "replace").otherwise("keep")
+    return archived.join(there, "path", "left").withColumn("action", action).drop("there")
+
+
+def backup(f: DataFrame, kind: str, last_full: Column, last_any: Column) -> DataFrame:
+    """Files (mtime) of a backup: ``full`` all, ``differential`` those changed since the last full
+    one, ``incremental`` those changed since the last of any kind."""
+    return f.where({"full": F.lit(True), "differential": F.col("mtime") > last_full, "incremental": F.col("mtime") > last_any}[kind])
+
+
+def guard(changes: DataFrame, archives: DataFrame) -> DataFrame:
+    """changes (archive, ...) with ``applied``: not to locked archives, nor to ones that do not exist."""
+    known = archives.select("archive", (~F.coalesce("locked", F.lit(False))).alias("open"))
+    return changes.join(known, "archive", "left").withColumn("applied", F.coalesce("open", F.lit(False))).drop("open")
+
+
+def recompress(f: DataFrame, blocks: DataFrame, touched: Column, mode: str) -> DataFrame:
+    """blocks (grp, block) with ``action``, what happens to each when ``touched`` files change.
+
+    append: blocks stay, changed files go to new ones; smart: blocks with a changed file are
+    packed again; all: every block is; info: only the catalog is written anew.
+    """
+    hit = f.groupBy("grp", "block").agg(F.max(touched).alias("hit"))
+    again = {"append": F.lit(False), "smart": F.coalesce("hit", F.lit(False)), "all": F.lit(True), "info": F.lit(False)}[mode]
+    return blocks.join(hit, ["grp", "block"], "left").withColumn("action", F.when(again, "repack").otherwise("copy")).drop("hit")
+
+
+def listing_line(size: Column, packed: Column, name: Column) -> Column:
+    """A line of the text listing: two right-aligned numbers and the name."""
+    return F.concat(F.lpad(size.cast("string"), 12, " "), F.lpad(packed.cast("string"), 12, " "), F.lit(" "), name)

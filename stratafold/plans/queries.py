@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.functions import scalars as S
+from stratafold.functions import script as L
 from stratafold.operators import archive as A
 from stratafold.operators import codecs as C
 from stratafold.operators import profile as P
+from stratafold.operators import records as R
 from stratafold.operators import transforms as T
 from stratafold.sources import catalog as K
 from stratafold.sources import text_sources as X
@@ -226,10 +228,41 @@ def filelist_dedup(spark, d):
     return K.load(spark, d, "pages").select("url").union(K.load(spark, d, "documents").select("source")).distinct()
 
 
-@query(f"WITH {_F} SELECT file_id FROM f WHERE size >= 512")
-def lock_and_comment_filter(spark, d):
-    """What a locked archive would still list of files of a sector or more."""
-    return _files(spark, d).where("size >= 512").select("file_id")
+@query(f"WITH {_F} SELECT file_id, coalesce(source, '') NOT IN ('src1', 'src3') AS applied FROM f")
+def lock_guard(spark, d):
+    """Changes to the sources' archives, of which two are locked."""
+    f = _files(spark, d).withColumn("archive", F.coalesce("source", F.lit("")))
+    archives = f.select("archive").distinct().withColumn("locked", F.col("archive").isin("src1", "src3"))
+    return A.guard(f, archives).select("file_id", "applied")
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT o.path, CASE WHEN n.path IS NULL THEN 'create' WHEN o.mtime > n.mtime THEN 'replace' ELSE 'keep' END AS action FROM o LEFT JOIN n ON o.path = n.path")
+def extract_update(spark, d):
+    """What an extraction that updates older files does to each path."""
+    return A.extract_plan(*_old_new(spark, d), "update").select("path", "action")
+
+
+@query(f"WITH {_OLD} SELECT path, size FROM o WHERE mtime > 500")
+def backup_differential(spark, d):
+    return A.backup(_old_new(spark, d)[0], "differential", F.lit(500), F.lit(900)).select("path", "size")
+
+
+@query(f"WITH {_B} SELECT grp, block, CASE WHEN bool_or(file_id % 50 = 0) THEN 'repack' ELSE 'copy' END AS action FROM b GROUP BY grp, block")
+def recompress_smart(spark, d):
+    b = _blocks(spark, d)
+    return A.recompress(b, A.packed_blocks(b), F.col("file_id") % 50 == 0, "smart").select("grp", "block", "action")
+
+
+@query(f"WITH {_P} SELECT lpad(CAST(size AS VARCHAR), 12, ' ') || lpad(CAST(packed AS VARCHAR), 12, ' ') || ' ' || dir || '/' || name AS line FROM p")
+def listing_text(spark, d):
+    return list_verbose(spark, d).select(A.listing_line(F.col("size"), F.col("packed"), F.col("path")).alias("line"))
+
+
+@query("SELECT event_type || '-' || strftime(ts, '%Y%m%d') || '.arc' AS archive, CAST(count(*) AS BIGINT) AS files FROM events GROUP BY 1")
+def archive_by_date(spark, d):
+    """Separate archives, their names with the date of what they hold."""
+    name = F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyyMMdd"), F.lit(".arc"))
+    return K.load(spark, d, "events").groupBy(name.alias("archive")).agg(F.count("*").alias("files"))
 
 
 # --- orders and blocks -----------------------------------------------------------------------
@@ -530,3 +563,103 @@ def chain_roundtrip(spark, d):
     docs = K.load(spark, d, "documents")
     packed = C.encode(docs, "doc_id", "text", "delta+lzma")
     return packed.select("doc_id", F.col("crc").alias("was")).join(C.decode(packed, "doc_id"), "doc_id").select("doc_id", (F.col("was") == F.col("crc")).alias("same"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS md5, true AS same FROM documents")
+def rep_roundtrip(spark, d):
+    """Every whole text through the coder of long repeats and back."""
+    docs = K.load(spark, d, "documents")
+    back = C.decode(C.encode(docs, "doc_id", "text", "rep+grzip"), "doc_id").select("doc_id", F.md5("data").alias("md5"))
+    both = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("was")).join(back, "doc_id")
+    return both.select("doc_id", "md5", (F.col("was") == F.col("md5")).alias("same"))
+
+
+# --- byte records ----------------------------------------------------------------------------
+
+#: Blocks of 64 order keys; a block's records are its lines' part keys, four octets each.
+_REC = """r AS (SELECT l_orderkey // 64 AS block, CAST(l_partkey AS BIGINT) AS v, row_number() OVER w - 1 AS k, CAST(lag(l_partkey) OVER w AS BIGINT) AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey // 64 ORDER BY l_orderkey, l_linenumber, l_partkey)),
+o AS (SELECT block, 4 * k + j AS pos, (v >> (8 * j)) & 255 AS octet FROM r, (VALUES (0), (1), (2), (3)) x(j))"""
+
+
+def _records(spark, d) -> DataFrame:
+    """(block, data): at most some hundred lines a block."""
+    rows = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
+    h = F.transform(rows, lambda r: F.lpad(F.hex(r["l_partkey"].cast("long")), 8, "0"))
+    little = F.transform(h, lambda x: F.concat(*[F.substring(x, p, 2) for p in (7, 5, 3, 1)]))
+    return K.load(spark, d, "lineitem").groupBy(F.expr("l_orderkey div 64").alias("block")).agg(F.unhex(F.array_join(little, "")).alias("data"))
+
+
+@query(f"""WITH {_REC}, t AS (SELECT block, 4 * count(*) AS n, sum(v) AS total, min(v) AS least, count(*) AS m,
+  sum(CASE WHEN v >= coalesce(before, 0) THEN 2 * (v - coalesce(before, 0)) ELSE 2 * (before - v) - 1 END) AS steps FROM r GROUP BY block),
+e AS (SELECT block, p, sum(-c * log10(1.0 * p * c / n)) AS cost FROM (SELECT block, p, pos % p AS phase, octet, count(*) AS c FROM o, (VALUES (1), (2), (4)) q(p) GROUP BY ALL) JOIN t USING (block) GROUP BY block, p),
+s AS (SELECT block, max(cost) FILTER (WHERE p = 1) AS e1, max(cost) FILTER (WHERE p = 2) AS e2, max(cost) FILTER (WHERE p = 4) AS e4 FROM e GROUP BY block)
+SELECT block, CAST(CASE WHEN e4 < CASE WHEN e2 < 0.93 * e1 THEN 0.95 * e2 ELSE 0.93 * e1 END THEN CASE WHEN total - least * m > steps + steps // 16 THEN 4 ELSE 2 END
+  WHEN e2 < 0.93 * e1 THEN 1 ELSE 0 END AS BIGINT) AS kind FROM s JOIN t USING (block)""")
+def record_kind(spark, d):
+    return R.over(_records(spark, d), "block", "data", R.record_kind, "kind", "long")
+
+
+@query(f"WITH {_REC} SELECT block, upper(string_agg(CASE WHEN x < 0 THEN printf('%08x', x + 4294967296) ELSE printf('%08x', x) END, '' ORDER BY k)) AS diff FROM (SELECT block, k, v - coalesce(before, 0) AS x FROM r) GROUP BY block")
+def table_diff(spark, d):
+    """Differences of the records with carry between their octets, shown with the high octet first."""
+    x = R.over(_records(spark, d), "block", "data", lambda b: R.table_diff(b, 4, [True] * 4), "diff", "binary")
+    numbers = F.transform(F.regexp_extract_all(F.hex("diff"), F.lit("........"), F.lit(0)), lambda h: F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)]))
+    return x.select("block", F.array_join(numbers, "").alias("diff"))
+
+
+_TURNS = "t AS (SELECT item_id, i, h, n, (h || h)[2 * i + 1 : 2 * i + 2 * n] AS turn FROM (SELECT item_id, h, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS i FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)))"
+
+
+@query(f"WITH {_TURNS} SELECT item_id, upper(string_agg(turn[-2:], '' ORDER BY turn, i)) AS sorted FROM t GROUP BY item_id")
+def bwt_items(spark, d):
+    x = R.over(K.load(spark, d, "benchmark").where("text <> ''"), "item_id", "text", R.sorted_by_context, "sorted", "binary")
+    return x.select("item_id", F.hex("sorted").alias("sorted"))
+
+
+@query(f"WITH {_TURNS} SELECT item_id, upper(string_agg(turn[-2:], '' ORDER BY turn[1:8], i)) AS sorted FROM t GROUP BY item_id")
+def context4_items(spark, d):
+    x = R.over(K.load(spark, d, "benchmark").where("text <> ''"), "item_id", "text", lambda b: R.sorted_by_context(b, 4), "sorted", "binary")
+    return x.select("item_id", F.hex("sorted").alias("sorted"))
+
+
+@query()
+def block_bounds_adaptive(spark, d):
+    """Ends of the blocks into which a whole text's changing statistics cut it."""
+    return R.over(K.load(spark, d, "documents"), "doc_id", "text", R.block_bounds, "ends", "array<long>")
+
+
+# --- chains, streams, scripts ----------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('lzma:64mb:normal:32', 67108864::BIGINT, 'lzma:32mb:normal:32'), ('rep:96mb+lzma:8mb+storing', 109051904::BIGINT, 'rep:32mb+lzma:8mb+storing'), ('delta', 0::BIGINT, 'delta')) v(chain, memory, limited)")
+def chain_limits(spark, d):
+    t = spark.createDataFrame([("lzma:64mb:normal:32",), ("rep:96mb+lzma:8mb+storing",), ("delta",)], "chain string")
+    return t.select("chain", S.chain_memory(F.col("chain")).alias("memory"), S.limit_memory(F.col("chain"), 32 << 20).alias("limited"))
+
+
+@query("SELECT o_orderkey, CAST(ceil(CAST(o_orderkey AS DECIMAL(18,0)) * 0.5 / 100) AS BIGINT) AS half_percent, CAST(65536 AS BIGINT) AS fixed FROM orders")
+def recovery_sizes(spark, d):
+    size = F.col("o_orderkey").cast("decimal(18,0)")
+    return K.load(spark, d, "orders").select("o_orderkey", S.recovery_size(F.lit("0.5%"), size).alias("half_percent"), S.recovery_size(F.lit("64kb"), size).alias("fixed"))
+
+
+@query("SELECT item_id, 'tor:5' AS method, md5(text) AS payload FROM benchmark")
+def stream_roundtrip(spark, d):
+    b = K.load(spark, d, "benchmark").withColumn("s", S.to_stream(F.lit("tor:5"), F.encode("text", "UTF-8")))
+    return b.select("item_id", S.stream_method(F.col("s")).alias("method"), F.md5(S.stream_payload(F.col("s"))).alias("payload"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([A-Za-z0-9]+)://([^/]+)', 2) AS host, regexp_replace(url, '([A-Za-z]+)([0-9])', '\\2\\1', 'g') AS swapped, regexp_extract_all(url, '[0-9]+') AS numbers, substr(url, 2, length(url) - 2) AS inner_part FROM pages")
+def script_patterns(spark, d):
+    u = F.col("url")
+    p = K.load(spark, d, "pages")
+    return p.select("page_id", F.coalesce(L.match(u, "^%w+://([^/]+)"), F.lit("")).alias("host"), L.gsub(u, "(%a+)(%d)", "%2%1").alias("swapped"), L.gmatch(u, "%d+").alias("numbers"), L.sub(u, 2, -2).alias("inner_part"))
+
+
+@query("SELECT event_id, trunc(value) AS whole, round(value - trunc(value), 6) AS rest, round(value, 6) AS back, CAST(TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS DOUBLE) AS number FROM events")
+def script_numbers(spark, d):
+    v = F.col("value")
+    return K.load(spark, d, "events").select(
+        "event_id", L.modf(v)["whole"].alias("whole"), F.round(L.modf(v)["rest"], 6).alias("rest"),
+        F.round(L.ldexp(L.frexp(v)["m"], L.frexp(v)["e"]), 6).alias("back"), L.tonumber(L.match(F.col("props"), "%d+")).alias("number"),
+    )
