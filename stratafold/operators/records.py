@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # fixed values of the record test and of the adaptive blocks
 GAIN_2, GAIN_4 = 0.93, 0.95
 FIRST_BLOCK, LEAST_STEP, WORSE = 24 * 1024, 256, 1.25
+LZP_FLAG = b"\xb5"
 
 
 def over(df: DataFrame, id_col: str, data_col: str, f: Callable[[bytes], object], out: str, kind: str) -> DataFrame:
@@ -286,3 +287,46 @@ def wav_header(data: bytes) -> list[int] | None:
             return None if form is None else [*form, at + 8]
         at += 8 + size + size % 2
     return None
+
+
+def lzp_encode(data: bytes, least: int = 8) -> bytes:
+    """Octets, each run that repeats what last followed the four octets before it as a flag and a length."""
+    out, seen, at = bytearray(), {}, 0
+    while at < len(data):
+        source, n = _predicted(data, at, seen), 0
+        if source is not None:
+            while at + n < len(data) and n < 65535 and data[source + n] == data[at + n]:
+                n += 1
+        if n >= least:
+            out += LZP_FLAG + n.to_bytes(2, "little")
+            at += n
+        else:
+            out += data[at : at + 1]
+            if data[at] == LZP_FLAG[0]:  # a length of 0 marks the octet itself
+                out += b"\0\0"
+            at += 1
+    return bytes(out)
+
+
+def lzp_decode(data: bytes) -> bytes:
+    out, seen, at = bytearray(), {}, 0
+    while at < len(data):
+        source = _predicted(out, len(out), seen)
+        n = int.from_bytes(data[at + 1 : at + 3], "little") if data[at] == LZP_FLAG[0] else -1
+        if n <= 0:
+            out += data[at : at + 1]
+            at += 3 if n == 0 else 1
+        else:
+            for k in range(source, source + n):
+                out.append(out[k])
+            at += 3
+    return bytes(out)
+
+
+def _predicted(data: bytes | bytearray, at: int, seen: dict[bytes, int]) -> int | None:
+    """Where the last four octets stood before; notes them."""
+    if at < 4:
+        return None
+    context = bytes(data[at - 4 : at])
+    source, seen[context] = seen.get(context), at
+    return source

@@ -73,9 +73,9 @@ def words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(split).alias("word"))
 
 
-def top_words(docs: DataFrame, k: int, least: int = 1, text_col: str = "text") -> DataFrame:
+def top_words(docs: DataFrame, k: int, least: int = 1, text_col: str = "text", shortest: int = 1) -> DataFrame:
     """(word, n): the k most frequent words, ties by word; k is the report's size."""
-    return words(docs, text_col).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(k)
+    return words(docs, text_col).where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(k)
 
 
 def xor_parity(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

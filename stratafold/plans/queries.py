@@ -9,8 +9,11 @@ from stratafold.functions import scalars as S
 from stratafold.functions import script as L
 from stratafold.operators import archive as A
 from stratafold.operators import codecs as C
+from stratafold.operators import dictionary as D
 from stratafold.operators import profile as P
 from stratafold.operators import records as R
+from stratafold.operators import samples as M
+from stratafold.operators import secrets as E
 from stratafold.operators import transforms as T
 from stratafold.sources import catalog as K
 from stratafold.sources import text_sources as X
@@ -663,3 +666,31 @@ def script_numbers(spark, d):
         "event_id", L.modf(v)["whole"].alias("whole"), F.round(L.modf(v)["rest"], 6).alias("rest"),
         F.round(L.ldexp(L.frexp(v)["m"], L.frexp(v)["e"]), 6).alias("back"), L.tonumber(L.match(F.col("props"), "%d+")).alias("number"),
     )
+
+
+# --- signals, dictionaries, passwords --------------------------------------------------------
+
+
+@query()
+def mm_detect(spark, d):
+    """[channels, bits, offset] of each block of records that looks like a sampled signal."""
+    return R.over(_records(spark, d), "block", "data", M.detect, "signal", "array<long>")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS md5, true AS smaller FROM documents")
+def dict_roundtrip(spark, d):
+    """Every whole text through a dictionary of 250 words and back."""
+    docs = K.load(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    known = D.learn(docs, 250, 50)
+    x = docs.select("doc_id", "t", D.encode(F.col("t"), known).alias("e"))
+    back = F.md5(D.decode(F.col("e"), known).cast("binary"))
+    return x.select("doc_id", back.alias("md5"), (F.length("e") <= F.length("t")).alias("smaller"))
+
+
+@query("SELECT item_id, true AS right_password, true AS wrong_fails FROM benchmark")
+def password_roundtrip(spark, d):
+    """Texts under keys from a password, opened with it and with another."""
+    b = K.load(spark, d, "benchmark").withColumn("salt", F.sha2(F.col("item_id").cast("string"), 256))
+    key, other = E.derive_keys(b, "item_id", "salt", "open"), E.derive_keys(b, "item_id", "salt", "shut").withColumnRenamed("key", "other")
+    x = b.join(key, "item_id").join(other, "item_id").withColumn("sealed", E.seal(F.col("text"), F.col("key")))
+    return x.select("item_id", (E.unseal(F.col("sealed"), F.col("key")).cast("string") == F.col("text")).alias("right_password"), E.unseal(F.col("sealed"), F.col("other")).isNull().alias("wrong_fails"))

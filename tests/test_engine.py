@@ -61,7 +61,7 @@ def test_group_file_and_ini():
 
 
 @settings(deadline=None, max_examples=50)
-@given(st.binary(max_size=300), st.sampled_from(["storing", "delta", "tor", "grzip", "lzma", "exe"]))
+@given(st.binary(max_size=300), st.sampled_from(["storing", "delta", "lzp", "rep", "tor", "grzip", "lzma", "exe"]))
 def test_codecs_round_trip(data, name):
     c = C.CODECS[name]
     assert c.decode(c.encode(data)) == data
