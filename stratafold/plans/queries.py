@@ -694,3 +694,10 @@ def password_roundtrip(spark, d):
     key, other = E.derive_keys(b, "item_id", "salt", "open"), E.derive_keys(b, "item_id", "salt", "shut").withColumnRenamed("key", "other")
     x = b.join(key, "item_id").join(other, "item_id").withColumn("sealed", E.seal(F.col("text"), F.col("key")))
     return x.select("item_id", (E.unseal(F.col("sealed"), F.col("key")).cast("string") == F.col("text")).alias("right_password"), E.unseal(F.col("sealed"), F.col("other")).isNull().alias("wrong_fails"))
+
+
+@query("SELECT page_id, md5(coalesce(html, '')) AS md5 FROM pages")
+def block_parallel_roundtrip(spark, d):
+    """Every whole page in blocks of 4 kB, each packed by itself, and together again."""
+    packed = C.encode_blocks(K.load(spark, d, "pages"), "page_id", "html", "lzp+tor", 4096)
+    return C.decode_blocks(packed, "page_id").select("page_id", F.md5("data").alias("md5"))

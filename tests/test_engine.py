@@ -1,3 +1,5 @@
+import subprocess
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +80,32 @@ def test_chain_and_fallback(spark):
         C.encode(df, "id", "data", "nosuch")
 
 
+def test_blocks_and_external_programs(spark):
+    rows = [(5, bytearray(bytes(range(250)) * 9)), (6, bytearray()), (7, None)]
+    df = spark.createDataFrame(rows, "id long, data binary")
+    packed = C.encode_blocks(df, "id", "data", "tor", 100)
+    assert packed.where("id = 5").count() == 23
+    assert {r.id: bytes(r.data) for r in C.decode_blocks(packed, "id").collect()} == {5: bytes(range(250)) * 9, 6: b"", 7: b""}
+    copy = C.external(["cp", "{in}", "{out}"], ["cp", "{in}", "{out}"])
+    assert copy.decode(copy.encode(b"some octets")) == b"some octets"
+    with pytest.raises(subprocess.CalledProcessError):
+        C.external(["false"], ["false"]).encode(b"x")
+
+
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_ranges_do_not_change_running_sums(spark, span):
+    from pyspark.sql import functions as F
+
+    from stratafold.functions.running import running_before, value_before
+
+    rows = [(None if g == 2 else g, i, (i * 7919 + g) % 100) for g in range(3) for i in range(0, 60, g + 1)]
+    df = spark.createDataFrame(rows, "g long, i long, v long")
+    x = running_before(df, F.col("v"), ["g"], ["i"], F.floor(F.col("i") / span), "sum")
+    x = value_before(x, "v", ["g"], ["i"], F.floor(F.col("i") / span), "last")
+    want = {(g, i): (sum(v for a, b, v in rows if a == g and b < i), next((v for a, b, v in reversed(rows) if a == g and b < i), None)) for g, i, _ in rows}
+    assert {(r.g, r.i): (r.sum, r.last) for r in x.collect()} == want
+
+
 def test_diff_and_back(spark):
     rows = [(g, i, (i * 7919 + g) % 1000 - 500) for g in range(3) for i in range(50)]
     df = spark.createDataFrame(rows, "g long, i long, v long")
