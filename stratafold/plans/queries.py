@@ -31,8 +31,9 @@ _P = _K + """, p AS (SELECT b.*, CASE WHEN file_id = min(file_id) OVER (PARTITIO
   FROM b JOIN k USING (grp, block) WHERE source <> 'src3')"""
 
 
-#: Ranges of the events' order, by which a hot user is split.
-_DAY = F.expr("CAST(ts AS DATE)")
+def _day():
+    """Ranges of the events' order, by which a hot user is split."""
+    return F.col("ts").cast("date")
 
 
 def query(sql: str | None = None):
@@ -376,13 +377,13 @@ def dup_groups(spark, d):
 
 @query("SELECT event_id, round(value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 6) AS diff FROM events")
 def delta_events(spark, d):
-    return T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], within=_DAY).select("event_id", F.round("diff", 6).alias("diff"))
+    return T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], within=_day()).select("event_id", F.round("diff", 6).alias("diff"))
 
 
 @query("SELECT event_id, round(value, 6) AS value FROM events")
 def undelta_events(spark, d):
-    e = T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], within=_DAY).drop("value")
-    return T.undiff(e, "diff", ["user_id"], ["ts", "event_id"], within=_DAY).select("event_id", F.round("value", 6).alias("value"))
+    e = T.diff(K.load(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], within=_day()).drop("value")
+    return T.undiff(e, "diff", ["user_id"], ["ts", "event_id"], within=_day()).select("event_id", F.round("value", 6).alias("value"))
 
 
 @query("WITH x AS (SELECT lag(l_linenumber) OVER w <> l_linenumber AS a, lag(l_returnflag) OVER w <> l_returnflag AS b, lag(l_linestatus) OVER w <> l_linestatus AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate)), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE c) AS c FROM x) SELECT v.name AS \"column\", CAST(v.k AS BIGINT) AS changes, CAST(n AS BIGINT) AS rows, v.k * 4 < n AS immutable FROM s, LATERAL (VALUES ('l_linenumber', s.a), ('l_returnflag', s.b), ('l_linestatus', s.c)) v(name, k)")

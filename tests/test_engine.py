@@ -154,3 +154,11 @@ def test_every_query_has_rows(spark):
     assert set(ORACLES) <= set(QUERIES)
     for name in ("list_verbose", "archive_info", "order0_entropy", "chunk_dedup", "parity_rebuild"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_the_entry_imports_without_a_session():
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
