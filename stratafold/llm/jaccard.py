@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
-from stratafold.llm._common import cut, small_batches, table
+from stratafold.llm._common import cut, small_batches, table, text_or_empty
 
 THRESHOLD, SHINGLE, BANDS, ROWS = 0.8, 5, 40, 5
 STEP, TOLERANCE, BLOCK = 40, 1e-7, 128
@@ -100,7 +100,7 @@ def set_ids(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, set_id binary or null, node long, bands array<long>)."""
+    """(doc_id, key long, set_id binary or null, node long, bands array<long>); key is the text's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = B.mix(np.arange(1, ROWS + 1, dtype=_U64) * B._BASE) | _U64(1)
@@ -117,13 +117,14 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names = [x.tobytes() if f else None for x, f in zip(ids, full, strict=True)]
                 sizes = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(bands[full].reshape(-1)))
-                cols = [batch.column(0).slice(at, n), pa.array(names, pa.binary()), pa.array(ids[:, 0].view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "set_id", "node", "bands"])
+                cols = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(names, pa.binary()), pa.array(ids[:, 0].view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "set_id", "node", "bands"])
                 at += n
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text_or_empty(text)).alias("key"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(B.tidy(run), f"doc_id {kind}, set_id binary, node long, bands array<bigint>")
+    return picked.mapInArrow(B.tidy(run), f"doc_id {kind}, key long, set_id binary, node long, bands array<bigint>")
 
 
 # --- connected components ------------------------------------------------------------------
@@ -283,13 +284,22 @@ def _links(units: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(B.tidy(run), "set_id binary, links long, tie binary")
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links, n_copies) for every row of docs."""
+def _least(id_col: str, *others: str) -> Column:
+    """The least by id, null ids last, and then by the others."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, *others))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The features of every row, and of every set its class, links, copies and whether it is its class's head.
+
+    The head is the set of the class's least document, which is (rep, rep_key); that of every set
+    is its own least one.
+    """
     small_batches(docs.sparkSession)
     feats = cut(_features(docs, id_col, text_col))
     sets = feats.where("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("node").alias("node"), F.first("bands").alias("bands")
-    )
+        _least("doc_id", "key").alias("d"), F.count("*").alias("n_copies"), F.first("node").alias("node"), F.first("bands").alias("bands")
+    ).select("set_id", F.col("d.doc_id").alias("rep"), F.col("d.key").alias("rep_key"), "n_copies", "node", "bands")
     sets = cut(sets)
     keys = sets.select("node", F.explode("bands").alias("band"))
     lead = keys.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("band", "lead")
@@ -299,32 +309,65 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # units: a group's blocks, two by two
     blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     members = sets.join(comps, "node").join(blocks, "comp").select(
-        "comp", "set_id", F.col("rep").alias("__rep"), "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("blk")
+        "comp", "set_id", F.col("rep").alias("__rep"), F.col("rep_key").alias("__key"), "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("blk")
     )
     members = cut(members)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     near = F.broadcast(members) if members.count() <= MAX_BROADCAST_SETS else members
-    units = texts.join(near, texts["__id"].eqNullSafe(near["__rep"])).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    units = texts.join(near, texts["__id"].eqNullSafe(near["__rep"]) & (F.xxhash64(texts["text"]) == near["__key"])).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     units = units.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "set_id", "text")
     found = cut(_links(units, threshold))
 
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("set_id").alias("a"), F.col("tie").alias("b")))
-    own = sets.select("set_id", "rep", "n_copies")
-    named = classes.join(own, classes["node"] == own["set_id"]).select("comp", "set_id", "rep")
-    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("set_id", "least")
+    own = sets.select("set_id", "rep", "rep_key", "n_copies")
+    named = classes.join(own, classes["node"] == own["set_id"]).select("comp", "set_id", "rep", "rep_key")
+    heads = named.groupBy("comp").agg(_least("rep", "rep_key", "set_id").alias("h"))
+    named = named.join(heads, "comp").select("set_id", F.col("h.rep").alias("least"), (F.col("h.set_id") == F.col("set_id")).alias("head"))
     whole = own.join(named, "set_id", "left").join(links, "set_id", "left").select(
-        "set_id", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"
+        "set_id", "rep", "rep_key", F.coalesce("head", F.lit(True)).alias("head"),
+        F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies",
     )
+    return feats, whole
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(id, class_id, n_links, n_copies) for every row of docs."""
+    feats, whole = _classes(docs, id_col, text_col, threshold, block)
     some = feats.where("set_id is not null").select("doc_id", "set_id").join(whole, "set_id").select("doc_id", "class_id", "n_links", "n_copies")
     none = feats.where("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(1).cast("long"))
     return some.union(none).withColumnRenamed("doc_id", id_col)
 
 
+def keep_heads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of every class; the same columns.
+
+    A document is named by its id and its text's hash, so classes that share an id each keep a
+    row: that of the least id (a null one last) and, where this id has several texts in the class,
+    of the least hash. Rows that repeat an id and a text stay as one of them. Rows without words
+    all stay.
+    """
+    feats, whole = _classes(docs, id_col, text_col, **options)
+    heads = whole.where("head").select(F.col("rep").alias("__head"), F.col("rep_key").alias("__hash"))
+    blank = feats.where("set_id is null").select(F.col("doc_id").alias("__head"), F.col("key").alias("__hash")).distinct()
+    hashed = F.xxhash64(text_or_empty(docs[text_col].cast("string")))
+
+    def those(h: DataFrame) -> DataFrame:
+        return docs.join(h, docs[id_col].eqNullSafe(h["__head"]) & (hashed == h["__hash"]), "left_semi")
+
+    repeats = feats.where("set_id is not null").groupBy("doc_id", "key").count().where("count > 1")
+    if repeats.isEmpty():
+        return those(cut(heads.union(blank)))
+    # texts are shuffled a second time only where rows repeat
+    once = those(cut(heads)).withColumn("__hash", hashed).dropDuplicates([id_col, "__hash"]).drop("__hash")
+    return once.union(those(cut(blank)))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of every class, that of the least id; the same columns.
+    """docs with one row for each id that names a class; the same columns.
 
-    Rows that repeat an id stay as one of them (the least by the other columns).
+    By the id alone: where ids repeat, classes of one name keep a single row between them, any of
+    that id's. ``keep_heads`` keeps one for each class.
     """
     classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
     heads = cut(classes.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__head")))

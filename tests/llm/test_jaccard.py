@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -114,3 +115,32 @@ def test_posterior_bound():
             density = x**k * (1 - x) ** (n - k)
             p = density[x >= 0.8].sum() / density.sum()
             assert (p >= jaccard.TOLERANCE) == (k >= m)
+
+
+def test_classes_that_share_an_id_each_keep_a_document(spark):
+    r = random.Random(9)
+    text = lambda n=40: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [
+        (1, a), (1, b), (1, b),  # two texts under an id, one of them twice
+        (2, near(a)), (3, c), (4, near(c)), (4, d),  # 4 is head of one class and no head of another
+        (None, e), (None, near(e)), (None, text()), (None, None), (3, None), (5, ""), (5, " "),
+    ]
+    docs = spark.createDataFrame([(x, y, {"m": i}) for i, (x, y) in enumerate(rows)], "doc_id long, text string, extra map<string,int>")
+    kept = jaccard.keep_heads(docs)
+    assert kept.columns == docs.columns
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    least = [t for i, t in got if i is None and t in (e, near(e))]
+    assert len(least) == 1
+    want = [(1, a), (1, b), (3, c), (4, d), (None, least[0]), rows[9], (None, None), (3, None), (5, ""), (5, " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    docs = docs.where("doc_id is null or doc_id <> 1")  # no row repeats both
+    got = [(x.doc_id, x.text) for x in jaccard.keep_heads(docs).collect()]
+    assert sorted(got, key=str) == sorted([(2, near(a)), *want[2:]], key=str)
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    rows = [(1, f"text number {i} with {i * 7} and {i * 11} in it", "en", "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 20
