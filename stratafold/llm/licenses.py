@@ -17,6 +17,7 @@ not read.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,61 @@ KNOWN: tuple[tuple[str, str], ...] = (
     *((x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0", "CC0-1.0")),
 )
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSL = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    {}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""
+_GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details.
+
+You should have received a copy of the {0} along with this program. If not, see <{1}://www.gnu.org/licenses/>."""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+If a copy of the MPL was not distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+
+#: Files of this package's texts by SPDX identifier; also known up to the end of their terms.
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.0-only": "LGPL-2", "LGPL-2.1-only": "LGPL-2.1",
+    "LGPL-3.0-only": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def further_texts() -> list[tuple[str, str]]:
+    """Full licence texts and standard notices besides KNOWN, which the SQL reads and which stays as it is."""
+    out = []
+    for name, file in _FILES.items():
+        text = pkgutil.get_data(__package__, f"texts/{file}.txt").decode()
+        out.append((name, text))
+        if _END in text:
+            terms = text[: text.index(_END)]
+            out += [(name, terms), (name, terms + _END)]
+    out += [("Unlicense", _UNLICENSE)]
+    out += [("Unlicense", f"{_UNLICENSE}\n\nFor more information, please refer to <{x}>") for x in ("http://unlicense.org", "http://unlicense.org/", "https://unlicense.org", "https://unlicense.org/")]
+    out += [("BSL-1.0", _BSL)]
+    for scheme in ("http", "https"):
+        out += [("Apache-2.0", _APACHE_NOTICE.format(scheme)), ("MPL-2.0", _MPL_NOTICE.format(scheme))]
+        out += [(f"{x}-3.0-or-later", _GNU_NOTICE.format(f"GNU {y}General Public License", scheme)) for x, y in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero "))]
+    return out
+
+
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n]*(?:\(c\)|©|[0-9]|by )|\(c\)|©|all rights reserved)[^\n]*$"
 _SEPARATORS = r"[^\p{L}\p{N}\n]+"
 
@@ -114,9 +170,9 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license, chars, single) of the known texts; a digest once, under its first identifier."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+    rows = spark.createDataFrame([*KNOWN, *further_texts()] if known is None else list(known), "license string, text string")
     rows = rows.select("license", canonical("text").alias("c"), (~F.contains("text", F.lit("\n"))).alias("single"))
     return rows.where("c <> ''").groupBy(digest(F.col("c")).alias("digest")).agg(
         F.min("license").alias("license"), F.max(F.length("c")).alias("chars"), F.max("single").alias("single")

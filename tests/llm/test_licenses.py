@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from stratafold.llm import licenses
@@ -28,3 +30,16 @@ def test_scan(spark, monkeypatch, known):
 
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_full_texts_and_notices(spark):
+    files = {x: (Path(licenses.__file__).parent / f"texts/{f}.txt").read_text() for x, f in licenses._FILES.items()}
+    rows = [(x, t.replace("\n", "\r\n  ")) for x, t in files.items()]
+    rows += [(x, t[: t.index(licenses._END)]) for x, t in files.items() if licenses._END in t]
+    rows += [("Unlicense", licenses._UNLICENSE), ("BSL-1.0", "Copyright 2020 A\n" + licenses._BSL)]
+    notice = "# " + licenses._APACHE_NOTICE.format("http").replace("\n", "\n# ")
+    rows += [("Apache-2.0", "# Copyright 2020 A\n" + notice), ("AGPL-3.0-or-later", licenses._GNU_NOTICE.format("GNU Affero General Public License", "https"))]
+    rows += [("None", files["MPL-2.0"] + " more"), ("None", files["GPL-3.0-only"][5000:])]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).collect()
+    assert [str(r.license) for r in sorted(got, key=lambda r: r.doc_id)] == [x for x, _ in rows]
+    assert len(rows) == 20
