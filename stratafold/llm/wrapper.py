@@ -48,7 +48,7 @@ _BLOCK = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIMITS = frozenset("ul ol dl table article section div body html td th".split())
-#: regions without content, by tag, by role, and by a part of a class or id
+#: regions without content, by tag, by role, and by a class or id or its last part
 _NOT_TAGS = frozenset("nav footer aside form script style noscript template iframe head button select textarea input svg canvas object dialog menu search title xmp noembed noframes audio video map".split())
 _NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NOT_WORDS = frozenset(
@@ -56,26 +56,40 @@ _NOT_WORDS = frozenset(
     " topbar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended"
     " recommendations comment comments respond reply replies disqus widget toolbar login search form pagination pager skip".split()
 )
+#: of these, what parts of an article are called too
+_ARTICLE_WORDS = frozenset("banner header masthead menu notice notices search form reply respond widget toolbar skip".split())
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+_LAYOUT = frozenset("has have with without no is".split())  # first parts of classes that tell of a page, not a region
+
+
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a class or id names a region without content."""
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and words[-1] in _NOT_WORDS and words[0] not in _LAYOUT and not (in_article and words[-1] in _ARTICLE_WORDS):
+            return True
+    return False
 
 
 class Node:
     """An element; children are nodes and strings."""
 
-    __slots__ = ("boiler", "children", "constant", "marks", "shape", "tag")
+    __slots__ = ("boiler", "children", "constant", "marks", "named", "shape", "tag")
 
     def __init__(self, tag: str, boiler: bool = False, marks: str = "") -> None:
         self.tag, self.boiler, self.marks = tag, boiler, marks
         self.children: list = []
         self.shape: tuple | None = None
+        self.named = False  # whether it is boiler only by its class or id
         self.constant: set[int] = set()  # of the children, texts that belong to the template
 
 
 def _region(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element holds no content; "main" if it marks the main content."""
+    """Whether an element holds no content, and "named" if only by its class or id; "main" if it marks the main content."""
     if tag in _NOT_TAGS or tag == "header" and not in_article:
         return True, ""
     mark = "main" if tag in ("article", "main") else ""
+    named = False
     if raw:
         for m in _ATTRIBUTE.finditer(raw):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -87,9 +101,9 @@ def _region(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
                 mark = "main" if value.lower() in ("main", "article") else mark
             elif name == "itemprop":
                 mark = "main" if value.lower() == "articlebody" else mark
-            elif name in ("class", "id") and tag not in ("html", "body") and any(w.lower() in _NOT_WORDS for w in _WORD.findall(value)):
-                return True, ""
-    return False, mark
+            elif name in ("class", "id") and tag not in ("html", "body") and _named(value, in_article):
+                named = True
+    return named, "named" if named else mark
 
 
 def parse(page: str) -> Node:
@@ -128,6 +142,7 @@ def parse(page: str) -> Node:
                     break
         boiler, marks = _region(tag, m[3], any(x.tag == "article" for x in stack))
         node = Node(tag, boiler, marks)
+        node.named = marks == "named"
         stack[-1].children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -275,18 +290,23 @@ def induce(trees: list[Node], support: int = SUPPORT, agreement: float = AGREEME
 # --- text ------------------------------------------------------------------------------------
 
 
-def _mains(node: Node) -> list[Node]:
-    """The outermost elements that mark main content."""
+def _outer(node: Node, through: bool = False) -> list[Node]:
+    """The outermost elements that mark main content; through: also in regions told only by class or id."""
     out: list[Node] = []
     todo = [node]
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or x.boiler:
+        if isinstance(x, str) or x.boiler and not (through and x.named):
             continue
         if x.marks == "main":
             out.append(x)
         else:
             todo.extend(reversed(x.children))
+    return out
+
+
+def _mains(node: Node, through: bool = False) -> list[Node]:
+    out = _outer(node, through)
     # an article inside a main element is what the page is about
     inner = [a for m in out if m.tag != "article" for a in _articles(m)]
     return inner if inner and all(m.tag != "article" for m in out) else out
@@ -306,6 +326,15 @@ def _articles(node: Node) -> list[Node]:
 
 def extract_blocks(root: Node) -> list[str]:
     mains = _mains(root)
+    if not mains:
+        # a marked article wins over its ancestors' names; beside other text it stands in its place
+        inner = _mains(root, True)
+        if inner and (any(m.tag != "article" for m in _outer(root, True)) or not _blocks(root, [], False)):
+            mains = inner
+    return _blocks(root, mains, True)
+
+
+def _blocks(root: Node, mains: list[Node], through: bool) -> list[str]:
     out: list[str] = []
     now: list[str] = []
     linked = [0, 0]
@@ -331,6 +360,8 @@ def extract_blocks(root: Node) -> list[str]:
             if i == 0:
                 if x.boiler:
                     now.append(" ")
+                    if through and not mains and x.named:
+                        todo += [(m, 0, False) for m in reversed(_mains(x, True))]
                     continue
                 if x.tag in _BLOCK:
                     close()

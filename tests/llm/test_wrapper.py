@@ -88,3 +88,15 @@ def test_large_host_is_split(spark):
 
 def test_empty(spark):
     assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_articles_win_over_class_words():
+    text = lambda page: "\n\n".join(wrapper.extract_blocks(wrapper.parse(page)))
+    article = "<article><div class='entry-header'><h1>Title</h1></div><p class='search-results'>Found</p><div class='notice'>Note</div><div class='ad'>Buy</div></article>"
+    want = "Title\n\nFound\n\nNote"
+    assert text(f"<div class='layout has-sidebar'>{article}<div class=sidebar>Side</div></div>") == want
+    assert text(f"<div class='page-widget'>{article}</div>") == want
+    assert text(f"<div id=header><main>{article}</main></div><p>Else") == want
+    assert text(f"<p>Before</p><div class=widget>{article}</div><p>After") == f"Before\n\n{want}\n\nAfter"
+    assert text(f"{article}<div class=comments><article>Reader</article></div>") == want
+    assert text(f"<aside>{article}</aside><p>Rest") == "Rest"
