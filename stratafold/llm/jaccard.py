@@ -3,7 +3,8 @@
 Texts are sets of five-word shingles; two texts are linked where the Jaccard similarity of
 their sets is ``threshold`` or more. One row for each document is returned: its class (the
 connected component of links that it lies in, named by its least document id) and the number
-of other, different texts that it is linked to.
+of other shingle sets that its own is linked to. Texts with equal sets are copies: they count
+as one, and not for each other.
 
 1. Each text's shingles, the hash of its shingle set, and ``BANDS * ROWS`` MinHash values are
    computed in one scan; what is kept is the set's hash and one hash per band. Copies (equal
