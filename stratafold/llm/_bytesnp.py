@@ -28,13 +28,15 @@ IS_START = (np.arange(256) & 0xC0) != 0x80
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """f for mapInArrow, with what its worker has freed given back to the system at its end.
 
-    Workers are reused by later stages, whose memory would otherwise come on top.
+    Workers are reused by later stages, whose memory would otherwise come on top; powers that a
+    text longer than a slice has called for are forgotten too.
     """
 
     def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from f(batches)
         finally:
+            _POWERS.shrink()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -98,6 +100,11 @@ class Powers:
             self.down = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, inverse, U64)]))
         return self.up, self.down
 
+    def shrink(self) -> None:
+        """Forget what only a text longer than a slice needs."""
+        if len(self.up) > 2 * SLICE:
+            self.up = self.down = np.ones(1, U64)
+
 
 _POWERS = Powers()
 

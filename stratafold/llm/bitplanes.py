@@ -22,21 +22,31 @@ and committed by Spark's own writer, so a lost executor leaves no half-written f
 store that Spark can reach will do. ``shards`` beside it is the chunk index's upper level: ids
 in each shard and the ids before it.
 
-The tokenizer works on words: the vocabulary's pre-tokenizer never joins across white space,
-so each different word of a batch is encoded once, kept in a bounded per-worker cache, and the
-documents' ids are gathered from those of their words.
+Texts are encoded where they are read, and what is shuffled into the order of the documents' ids
+is their token ids, two or four octets each. Shards are ranges of document ids, cut at quantiles
+of a sample of the ids (which decides their balance and no result); rows that share an id may lie
+in several successive shards, so that an id that repeats without bound is no single task's.
+
+Where a vocabulary is known never to join across white space (``WORD_PATTERNS``), each different
+word of a piece is encoded once and kept in a cache; other vocabularies encode whole texts. What a
+worker holds is bounded in octets: a piece of ``PIECE_BYTES`` of text (or one longer text), and
+``CACHE_WORDS`` words of at most ``CACHE_BYTES`` in all, of which a task leaves no more than
+``LEAVE_WORDS`` behind.
 
 Defined results: a null text is an empty one and has only the end id; rows that repeat an id
-are written one after the other; null ids come first; an empty table makes an empty file;
-other columns are not read.
+are written one after the other, by their ids; null ids come first; texts of any length are
+encoded whole; an empty table makes an empty file; other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +59,21 @@ from stratafold.llm._common import scratch, small_batches, table
 
 MAGIC = b"SFP1"
 BYTE_PLANES, BIT_PLANES = 1, 2
-#: ids of a block, ids after which a chunk is closed, words in a worker's cache.
-BLOCK, CHUNK_IDS, CACHE_WORDS = 1 << 14, 1 << 18, 1 << 19
-#: Bytes of text that are tokenised at a time (or one longer text).
-PIECE_BYTES = 8 << 20
+#: ids of a block, ids after which a chunk is closed.
+BLOCK, CHUNK_IDS = 1 << 14, 1 << 18
+#: Words in a worker's cache and their bytes, and the words that a task may leave in it.
+CACHE_WORDS, CACHE_BYTES, LEAVE_WORDS = 1 << 18, 8 << 20, 1 << 17
+#: Bytes of text that are tokenised at a time (or one longer text); fewer where whole texts are encoded.
+PIECE_BYTES, WHOLE_BYTES = 4 << 20, 1 << 18
+#: Document ids sampled for each shard's bounds.
+SAMPLE_IDS = 200
 _HEAD = struct.Struct("<4sBBHIQI")
 
+# fixed values: pre-tokenizers' patterns that match no white space, each word's tokens by themselves
+WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: Normalizers that leave the parts between white space to themselves.
+WORD_NORMALIZERS = frozenset(("NFC", "NFD", "Lowercase"))
+
 
 def encode_planes(ids: np.ndarray, mode: int = BYTE_PLANES, block: int = BLOCK, level: int = 3) -> bytes:
     import zstandard
@@ -103,24 +122,50 @@ def decode_planes(payload: bytes) -> np.ndarray:
     return out
 
 
+def _listed(part: dict | None, kind: str) -> list[dict]:
+    return [] if part is None else part.get(kind, [part])
+
+
 class WordEncoder:
-    """Ids of whole texts from the cached ids of their white-space separated words."""
+    """Ids of whole texts, where possible from the cached ids of their white-space separated words."""
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        raw = Path(vocabulary).read_text(encoding="utf-8")
+        self.tokenizer = Tokenizer.from_str(raw)
         self.cache_words = cache_words
-        self.clear()
-
+        spec = json.loads(raw)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        normal = _listed(spec["normalizer"], "normalizers")
+        steps = _listed(spec["pre_tokenizer"], "pretokenizers")
+        # the tokens of a text are those of its words
+        self.by_word = (
+            bool(steps)
+            and steps[0]["type"] == "Split"
+            and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+            and steps[0]["pattern"].get("Regex") in WORD_PATTERNS
+            and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in steps[1:])
+            and all(x["type"] in WORD_NORMALIZERS or x["type"] == "Replace" and (x["pattern"], x["content"]) == ({"Regex": r"\s+"}, " ") for x in normal)
+            and len(self.special) <= 16
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].isascii() or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+        )
+        # and do not depend on case, nor those before a stop on the stop
+        self.lower = self.by_word and any(x["type"] == "Lowercase" for x in normal)
         tails = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"]
-        self.tails = np.asarray([0, *(t[0] for t in tails)], np.uint32) if all(len(t) == 1 for t in tails) else None
+        self.tails = np.asarray([0, *(t[0] for t in tails)], np.uint32) if self.lower and all(len(t) == 1 for t in tails) else None
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.bytes = 0
+
+    def leave(self) -> None:
+        """What a task does at its end."""
+        if len(self.at) > LEAVE_WORDS:
+            self.clear()
 
     def entries(self, words: list[str]) -> np.ndarray:
         """Where the cache has them; -1: nowhere."""
@@ -131,6 +176,7 @@ class WordEncoder:
         words = [w for w in words if w in self.at]
         self.ids, self.ends = _gather(self.ids, self.ends, self.entries(words))
         self.at = dict(zip(words, range(len(words)), strict=True))
+        self.bytes = sum(map(len, words))
 
     def learn(self, words: list[str]) -> None:
         ids, sizes = [self.ids], [np.diff(self.ends)]
@@ -141,21 +187,25 @@ class WordEncoder:
             sizes.append(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(part)))
         n = len(self.at)
         self.at.update((w, n + i) for i, w in enumerate(words))
+        self.bytes += sum(map(len, words))
         self.ids = np.concatenate(ids)
         self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
     def forms(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """What each word is looked up as, and the full stop (1) or comma (2) taken off its end.
 
-        Of ASCII words only, where both steps leave the ids as they are: the vocabulary's
-        normalizer lowers case anyway, and its pre-tokenizer parts a letter or digit from a
-        stop. Words that might hold a special token keep their case.
+        Of ASCII words only, and of vocabularies where both steps leave the ids as they are.
+        Words that might hold a special token keep their form.
         """
         tail = np.zeros(len(words), np.int64)
-        if self.tails is None or not len(words):
+        if not self.lower or not len(words):
             return words, tail
-        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        plain = pc.string_is_ascii(words)
+        for token in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, token, ignore_case=True)))
         words = pc.if_else(plain, pc.ascii_lower(words), words)
+        if self.tails is None:
+            return words, tail
         ends = pc.and_(plain, pc.match_substring_regex(words, "[a-z0-9][.,]$"))
         stop = np.asarray(pc.ends_with(words, "."))
         tail = np.where(np.asarray(ends), np.where(stop, 1, 2), 0)
@@ -163,18 +213,23 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
+        if not self.by_word:
+            got = [x.ids for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
         split = pc.ascii_split_whitespace(texts)
         word_ends = np.asarray(split.offsets).astype(np.int64)
         coded = split.values.slice(word_ends[0], word_ends[-1] - word_ends[0]).dictionary_encode()
         word_ends = word_ends - word_ends[0]
+        del split
         forms, tail = self.forms(coded.dictionary)
         forms = forms.dictionary_encode()
         own = forms.dictionary.to_pylist()
         entry = self.entries(own)
-        if len(self.at) + np.count_nonzero(entry < 0) > self.cache_words:
+        unknown = np.flatnonzero(entry < 0)
+        if len(self.at) + len(unknown) > self.cache_words or self.bytes > CACHE_BYTES:
             self.keep(own)
             entry = self.entries(own)
-        unknown = np.flatnonzero(entry < 0)
         entry[unknown] = len(self.at) + np.arange(len(unknown))
         self.learn([own[i] for i in unknown])
         # the ids of each different word of the batch, its tail put back, then those of all words
@@ -191,7 +246,11 @@ def _gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.
     start = ends[:-1][rows]
     size = ends[1:][rows] - start
     done = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return values[np.arange(done[-1]) + np.repeat(start - done[:-1], size)], done
+    # places as short as they can be: they are the largest array of a piece
+    kind = np.int32 if max(int(done[-1]), len(values)) < 1 << 31 else np.int64
+    place = np.arange(done[-1], dtype=kind)
+    place += np.repeat((start - done[:-1]).astype(kind), size)
+    return values[place], done
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -218,23 +277,71 @@ def _pieces(col: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, pa.Array]]:
+def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of successive batches, until they have `most` bytes."""
-    names: list = []
+    names: list[pa.Array] = []
     texts: list[pa.Array] = []
     held = 0
     for batch in batches:
-        names += batch.column(0).to_pylist()
+        names.append(batch.column(0))
         texts.append(B.strings(batch.column(1)))
         held += texts[-1].nbytes
         if held >= most:
-            yield names, pa.concat_arrays(texts)
+            yield pa.concat_arrays(names), pa.concat_arrays(texts)
             names, texts, held = [], [], 0
     if names:
-        yield names, pa.concat_arrays(texts)
+        yield pa.concat_arrays(names), pa.concat_arrays(texts)
 
 
 CHUNKS = "shard int, chunk long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"
+_NONE = -(1 << 63)  # the place of null ids in the order
+
+
+def shard_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:
+    """shards - 1 ids, in order, that cut the table into about equal parts: from at most some SAMPLE_IDS ids a shard."""
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"))
+    total = ids.count()
+    if shards < 2 or not total:
+        return []
+    got = sorted(r.id for r in ids.sample(min(1.0, SAMPLE_IDS * shards / total), seed=5).limit(2 * SAMPLE_IDS * shards).collect())
+    return [got[len(got) * i // shards] for i in range(1, shards)] if got else []
+
+
+def encoded(docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
+    """(shard, id, ids binary) of every document, ids as four little-endian octets each, the end id behind them.
+
+    Shard s holds ids from bound s - 1 to bound s; rows of an id that is a bound are dealt to the
+    shards on its two sides, and to all between equal bounds, by a hash of their text.
+    """
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mix"))
+    cuts = np.asarray(bounds, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(vocabulary)
+        most = PIECE_BYTES if encoder.by_word else WHOLE_BYTES
+
+        def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column(0).fill_null(_NONE).to_numpy()
+            low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+            at = low + batch.column(2).to_numpy().astype(np.uint64) % (high - low + 1).astype(np.uint64)
+            names = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), batch.column(0)], ["shard", "id"])
+            return pa.RecordBatch.from_arrays([names, batch.column(1)], names=["name", "text"])
+
+        for names, texts in _merged(map(shard, batches), most):
+            for i, j in _pieces(texts, most):
+                ids, sizes = encoder.encode(texts.slice(i, j - i))
+                out = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u4")  # after each document
+                offsets = np.concatenate([[0], 4 * np.cumsum(sizes + 1)]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+                own = names.slice(i, j - i)
+                # rows' ids are copied to the JVM: a few hundred documents at a time
+                for k in range(0, j - i, 500):
+                    part = own.slice(k, 500)
+                    yield pa.RecordBatch.from_arrays([*part.flatten(), packed.slice(k, 500)], names=["shard", "id", "ids"])
+        encoder.leave()
+
+    return picked.mapInArrow(B.tidy(run), "shard int, id long, ids binary")
 
 
 def write_tokens(
@@ -254,45 +361,40 @@ def write_tokens(
     spark = docs.sparkSession
     small_batches(spark)
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = picked.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    bounds = shard_bounds(docs, id_col, shards)
+    rows = encoded(docs, vocabulary, bounds, id_col=id_col, text_col=text_col, end_id=end_id)
+    ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, chunk = TaskContext.get().partitionId(), 0
-        encoder = word_encoder(vocabulary)
-        held_ids: list[np.ndarray] = []
-        held_docs: list = []
-        held_sizes: list[int] = []
+        chunk = 0
+        held: list[np.ndarray] = []
+        docs_held: list[int | None] = []
+        sizes_held: list[int] = []
+        n_held, shard = 0, None
 
         def close() -> pa.RecordBatch:
-            nonlocal chunk
-            ids = np.concatenate(held_ids)
-            row = {"shard": [shard], "chunk": [chunk], "n_ids": [len(ids)], "doc_ids": [list(held_docs)], "doc_sizes": [list(held_sizes)], "payload": [encode_planes(ids, mode, block)]}
-            chunk += 1
-            held_ids.clear(), held_docs.clear(), held_sizes.clear()
+            nonlocal chunk, n_held
+            ids = np.concatenate(held)
+            row = {"shard": [shard], "chunk": [chunk], "n_ids": [len(ids)], "doc_ids": [list(docs_held)], "doc_sizes": [list(sizes_held)], "payload": [encode_planes(ids, mode, block)]}
+            chunk, n_held = chunk + 1, 0
+            held.clear(), docs_held.clear(), sizes_held.clear()
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for names, texts in _merged(batches, PIECE_BYTES):
-            for i, j in _pieces(texts, PIECE_BYTES):
-                ids, sizes = encoder.encode(texts.slice(i, j - i))
-                ends = np.cumsum(sizes)
-                out = np.insert(ids, ends, np.uint32(end_id))  # after each document
-                sizes, ends = sizes + 1, ends + np.arange(1, len(ends) + 1)
-                first = 0
-                while first < len(sizes):
-                    begun = ends[first] - sizes[first]
-                    room = max(0, chunk_ids - sum(held_sizes))
-                    last = min(len(sizes), max(first + 1, int(np.searchsorted(ends, begun + room, side="right"))))
-                    held_ids.append(out[begun : ends[last - 1]])
-                    held_docs.extend(names[i + first : i + last])
-                    held_sizes.extend(sizes[first:last].tolist())
-                    first = last
-                    if sum(held_sizes) >= chunk_ids:
+        for batch in batches:
+            packed = batch.column(2)
+            for i in range(batch.num_rows):
+                if shard != (now := batch.column(0)[i].as_py()):
+                    if held:
                         yield close()
-        if held_ids:
+                    shard, chunk = now, 0
+                held.append(np.frombuffer(packed[i].as_buffer(), "<u4"))
+                docs_held.append(batch.column(1)[i].as_py())
+                sizes_held.append(len(held[-1]))
+                n_held += sizes_held[-1]
+                if n_held >= chunk_ids:
+                    yield close()
+        if held:
             yield close()
 
     ordered.mapInArrow(B.tidy(run), CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")

@@ -63,3 +63,40 @@ def test_a_small_cache_changes_nothing():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bitplanes.tokenised(docs).collect() == []
+
+
+def brute(rows, vocabulary=VOCABULARY):
+    """(id, start, n, crc) of rows in their order."""
+    tokenizer, out, start = Tokenizer.from_file(vocabulary), [], 0
+    for name, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((name, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_another_vocabulary_encodes_whole_texts(spark):
+    other = str(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not bitplanes.WordEncoder(other).by_word and bitplanes.WordEncoder(VOCABULARY).by_word
+    rows = [(i, t) for i, t in enumerate([*ODD, "two  blanks", " lead", "x <|endoftext|> y"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, bitplanes.tokenised(docs, other).collect())) == brute(rows, other)
+
+
+def test_an_id_that_repeats_is_spread_over_shards(spark):
+    rows = [(7, f"text number {i}") for i in range(300)] + [(i, f"other {i}") for i in range(100)] + [(None, "no id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = scratch(spark, "t")
+    bitplanes.write_tokens(docs, path, VOCABULARY, shards=8)
+    chunks = spark.read.parquet(f"{path}/chunks").collect()
+    assert sum(7 in c.doc_ids for c in chunks) >= 4
+    got = sorted(map(tuple, bitplanes.read_digests(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, *range(7), *[7] * 301, *range(8, 100)]
+    want = brute(rows)
+    assert sorted((str(a), c, d) for a, _, c, d in got) == sorted((str(a), c, d) for a, _, c, d in want)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False)) and got[0][1] == 0
+
+
+def test_the_query(spark):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    assert sorted(map(tuple, bitplanes.op4_token_planes(spark, "/root/testdata/sf0.001").collect())) == brute(rows)
