@@ -431,17 +431,17 @@ def _clean(text: str) -> str:
 def measure(root: Node) -> None:
     """Characters of varying text outside and inside links, links, and whether there is a heading or a paragraph.
 
-    Regions that are no content by a mark count nothing.
+    Regions that are no content by a mark count nothing for what they stand in.
     """
     for x in _postorder(root):
         x.text = x.link = x.links = 0
         x.heading, x.paragraph = x.tag in _HEADINGS, x.tag == "p"
-        if x.boiler or x.tag in _RAW:
+        if x.tag in _RAW:
             continue
         for i, c in enumerate(x.children):
             if isinstance(c, str):
                 x.text += 0 if i in x.constant else len(c.strip())
-            else:
+            elif not c.boiler:
                 x.text, x.link, x.links = x.text + c.text, x.link + c.link, x.links + c.links
                 x.heading, x.paragraph = x.heading or c.heading, x.paragraph or c.paragraph
         if x.tag == "a" and x.text + x.link:
@@ -513,16 +513,18 @@ def _structure(reference: Node, aligned: dict[int, list], support: int, agreemen
             break
         shown = []
         for _, c in region.kids:
-            if not isinstance(c, str) and not c.boiler:
+            if not isinstance(c, str):
                 at = dict(aligned.get(id(c), ()))
                 shown.append((c, at, sum(b.text for b in at.values())))
-        best = max(shown, key=lambda s: s[2], default=None)
+        best = max((s for s in shown if not s[0].boiler), key=lambda s: s[2], default=None)
         total = sum(b.text for b in here.values())
         inner = best is not None and best[2] > MOST * total and len(best[1]) >= agreement * len(here) and best[0].tag not in _TEXT_LEVEL
         for c, at, mass in shown:
             if inner and c is best[0] or len(at) < max(support, SHOWN * len(here)):
                 continue
             link, links = sum(b.link for b in at.values()), sum(b.links for b in at.values())
+            if not mass + link:
+                continue
             menu = links >= 2 * len(at) and link >= LINKS * (mass + link)
             rich = 2 * sum(b.heading or b.paragraph for b in at.values()) >= len(at)
             small = inner and c.tag not in _TEXT_LEVEL and not rich and mass * len(best[1]) <= LITTLE * best[2] * len(at)
