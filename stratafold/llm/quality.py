@@ -7,7 +7,12 @@ sample first, measures both, orders them by rejections per second and then evalu
 only on the texts that the earlier ones let pass. As a text is kept only if every rule passes
 it, the order changes the time and never the verdict.
 
-Defined results: a null text is an empty text; it has no words and fails ``few_words``. Every
+A text's features are computed once, whoever asks for them: those that a caller wants for every
+text cost the cascade nothing, and are left out of the rules' costs; what a rule needs beside them
+is computed for the texts that reach it.
+
+Defined results: texts of any length are read whole, a batch of them in slices of about a
+megabyte or one longer text; a null text is an empty text; it has no words and fails ``few_words``. Every
 row gets its own result, repeated or not; an empty table gives an empty one; other columns are
 carried through by ``keep`` and not read.
 """
@@ -15,6 +20,7 @@ carried through by ``keep`` and not read.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,16 +42,29 @@ _LOWER[97:123] = True
 
 
 class Features:
-    """The features of one slice of texts, each computed when first asked for."""
+    """The features of one slice of texts, each computed when first asked for.
+
+    count: gets for every feature the texts it was computed for.
+    """
 
-    def __init__(self, s: B.Slice) -> None:
+    def __init__(self, s: B.Slice, count: Counter | None = None) -> None:
         self.s = s
         self.n = len(s.ends) - 1
+        self.count = count
+        self.known: dict[str, np.ndarray] = {}
 
     def __getattr__(self, name: str):
-        value = getattr(type(self), f"_{name}")(self)
-        setattr(self, name, value)
-        return value
+        if name not in self.known:
+            if self.count is not None:
+                self.count[name] += self.n
+            self.known[name] = getattr(type(self), f"_{name}")(self)
+        return self.known[name]
+
+    def only(self, rows: np.ndarray) -> Features:
+        """Of only those texts; what is known of a text stays known."""
+        out = Features(_subset(self.s, rows), self.count)
+        out.known = {x: v[rows] for x, v in self.known.items() if x.startswith(("n_", "word_chars"))}
+        return out
 
     def _spans(self):
         return B.word_spans(self.s)
@@ -138,21 +157,21 @@ def _subset(s: B.Slice, rows: np.ndarray) -> B.Slice:
     return B.Slice(s.first, s.buf[np.repeat(flags, np.diff(s.ends))], ends)
 
 
-def cascade(s: B.Slice, rules: Sequence[Rule], spent: np.ndarray | None = None) -> np.ndarray:
+def cascade(f: Features, rules: Sequence[Rule], spent: np.ndarray | None = None) -> np.ndarray:
     """Per document the index of the rule that rejects it first, or -1.
 
     Where fewer than half of the documents are left, later rules work on a copy of those only.
     spent: gets seconds, evaluated and rejected documents of each rule.
     """
-    out = np.full(len(s.ends) - 1, -1)
-    rows, f = np.arange(len(out)), Features(s)
-    alive = np.ones(len(out), bool)
+    out = np.full(f.n, -1)
+    rows = np.arange(f.n)
+    alive = np.ones(f.n, bool)
     for i, rule in enumerate(rules):
         if not alive.any():
             break
         if alive.sum() * 2 < len(alive):
+            f = f.only(np.flatnonzero(alive))
             rows = rows[alive]
-            f = Features(_subset(s, rows))
             alive = np.ones(len(rows), bool)
         began = time.perf_counter()
         bad = np.asarray(rule.rejects(f), bool) & alive
@@ -163,8 +182,8 @@ def cascade(s: B.Slice, rules: Sequence[Rule], spent: np.ndarray | None = None)
     return out
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds per text, share rejected) of every rule alone on a sample of the texts.
+def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: Sequence[str] = ()) -> list[tuple[str, float, float]]:
+    """(rule, seconds per text, share rejected) of every rule alone on a sample of the texts, beside known features.
 
     The sample is drawn row by row in the scan, so nothing is shuffled but a row for each rule
     and task. It only decides the order of the rules, which no verdict depends on.
@@ -175,8 +194,13 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sam
         spent = np.zeros((len(rules), 3))
         for batch in batches:
             for s in B.slices(B.strings(batch.column(0))):
-                for i, rule in enumerate(rules):  # each by itself, with nothing shared
-                    cascade(s, [rule], spent[i : i + 1])
+                known = Features(s)
+                for x in features:
+                    getattr(known, x)
+                for i, rule in enumerate(rules):  # each by itself, with nothing else shared
+                    f = Features(s)
+                    f.known = {x: known.known[x] for x in features}
+                    cascade(f, [rule], spent[i : i + 1])
         yield pa.RecordBatch.from_pydict({"i": list(range(len(rules))), "s": spent[:, 0].tolist(), "n": spent[:, 1].tolist(), "bad": spent[:, 2].tolist()})
 
     got = (
@@ -187,9 +211,9 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sam
     return [(rules[r[0]].name, r[1] / max(r[2], 1), r[3] / max(r[2], 1)) for r in got]
 
 
-def ordered_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: Sequence[str] = ()) -> list[Rule]:
     """The rules by rejections per second, most first; ties by name."""
-    rank = {n: (-bad / max(sec, 1e-9), n) for n, sec, bad in estimate(docs, rules, text_col, sample_rows)}
+    rank = {n: (-bad / max(sec, 1e-9), n) for n, sec, bad in estimate(docs, rules, text_col, sample_rows, features)}
     return sorted(rules, key=lambda r: rank.get(r.name, (0.0, r.name)))
 
 
@@ -198,7 +222,7 @@ def verdicts(
     sample_rows: int = SAMPLE_ROWS, as_name: str = "rejected_by",
 ) -> DataFrame:
     """carry's columns, the named features (for every text), and the rule that rejects (null: kept)."""
-    rules = ordered_rules(docs, default_rules() if rules is None else rules, text_col, sample_rows)
+    rules = ordered_rules(docs, default_rules() if rules is None else rules, text_col, sample_rows, features)
     names = [r.name for r in rules]
     small_batches(docs.sparkSession)
     picked = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("__text"))
@@ -207,11 +231,10 @@ def verdicts(
         for batch in batches:
             got: dict[str, list[np.ndarray]] = {x: [] for x in (*features, "__by")}
             for s in B.slices(B.strings(batch.column(len(carry)))):
-                got["__by"].append(cascade(s, rules))
-                if features:
-                    f = Features(s)
-                    for x in features:
-                        got[x].append(getattr(f, x))
+                f = Features(s)
+                for x in features:
+                    got[x].append(getattr(f, x))
+                got["__by"].append(cascade(f, rules))
             whole = {x: np.concatenate(v) if v else np.zeros(0, np.int64) for x, v in got.items()}
             cols = [batch.column(i) for i in range(len(carry))] + [pa.array(whole[x], pa.int64()) for x in features]
             cols.append(pa.array([None if i < 0 else names[i] for i in whole["__by"]], pa.string()))
@@ -230,6 +253,7 @@ def keep(docs: DataFrame, rules: Sequence[Rule] | None = None, *, text_col: str
 
 
 def op9_quality_cascade(spark, sf_dir: str) -> DataFrame:
+    """Which rule rejects a text first depends on measured times, so only whether one does is returned."""
     docs = table(spark, sf_dir, "documents")
     features = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     out = verdicts(docs, features=features, carry=["doc_id"])
@@ -237,5 +261,24 @@ def op9_quality_cascade(spark, sf_dir: str) -> DataFrame:
         "doc_id", *features,
         F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
         F.col("rejected_by").isNull().alias("kept"),
-        "rejected_by",
     )
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, i, w[i : i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+twice AS (SELECT r, unnest(spots) AS i FROM (SELECT r, list(i) AS spots FROM x GROUP BY r, g HAVING count(*) > 1)),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2), (3), (4)) v(j) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+stutter AS (SELECT r, count(*) AS n FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] = w[i + 1] GROUP BY r),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, coalesce(stutter.n, 0) AS n_stutter,
+    len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[a-z]')) AS n_lower
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r) LEFT JOIN stutter USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars > 25 * n_words OR 10 * n_symbols > 3 * n_words OR n_upper > n_lower + 20
+       OR 2 * n_dup_lines > n_lines OR 10 * n_stutter > 3 * n_words) AS kept
+FROM b
+"""
