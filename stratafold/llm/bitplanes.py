@@ -30,8 +30,7 @@ in several successive shards, so that an id that repeats without bound is no sin
 Where a vocabulary is known never to join across white space (``WORD_PATTERNS``), each different
 word of a piece is encoded once and kept in a cache; other vocabularies encode whole texts. What a
 worker holds is bounded in octets: a piece of ``PIECE_BYTES`` of text (or one longer text), and
-``CACHE_WORDS`` words of at most ``CACHE_BYTES`` in all, of which a task leaves no more than
-``LEAVE_WORDS`` behind.
+``CACHE_WORDS`` words of about ``CACHE_BYTES`` in all, of which those that come again are kept.
 
 Defined results: a null text is an empty one and has only the end id; rows that repeat an id
 are written one after the other, by their ids; null ids come first; texts of any length are
@@ -45,7 +44,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 from pathlib import Path
 
 import numpy as np
@@ -61,8 +60,8 @@ MAGIC = b"SFP1"
 BYTE_PLANES, BIT_PLANES = 1, 2
 #: ids of a block, ids after which a chunk is closed.
 BLOCK, CHUNK_IDS = 1 << 14, 1 << 18
-#: Words in a worker's cache and their bytes, and the words that a task may leave in it.
-CACHE_WORDS, CACHE_BYTES, LEAVE_WORDS = 1 << 18, 8 << 20, 1 << 17
+#: Words in a worker's cache (some 100 bytes each), and their own bytes.
+CACHE_WORDS, CACHE_BYTES = 1 << 18, 8 << 20
 #: Bytes of text that are tokenised at a time (or one longer text); fewer where whole texts are encoded.
 PIECE_BYTES, WHOLE_BYTES = 4 << 20, 1 << 18
 #: Document ids sampled for each shard's bounds.
@@ -136,6 +135,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(raw)
         self.cache_words = cache_words
         spec = json.loads(raw)
+        self.top = max(self.tokenizer.get_vocab().values())
         self.special = [t["content"] for t in spec["added_tokens"]]
         normal = _listed(spec["normalizer"], "normalizers")
         steps = _listed(spec["pre_tokenizer"], "pretokenizers")
@@ -160,23 +160,24 @@ class WordEncoder:
         self.at: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.used = np.zeros(0, bool)  # asked for again since the last time words were forgotten
         self.bytes = 0
 
-    def leave(self) -> None:
-        """What a task does at its end."""
-        if len(self.at) > LEAVE_WORDS:
-            self.clear()
-
     def entries(self, words: list[str]) -> np.ndarray:
         """Where the cache has them; -1: nowhere."""
         return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
 
-    def keep(self, words: list[str]) -> None:
-        """Forget all but these."""
-        words = [w for w in words if w in self.at]
-        self.ids, self.ends = _gather(self.ids, self.ends, self.entries(words))
-        self.at = dict(zip(words, range(len(words)), strict=True))
-        self.bytes = sum(map(len, words))
+    def forget(self, words: list[str]) -> None:
+        """All but these and, while they fill no more than half, those that were asked for again."""
+        again = self.used
+        keep = {w for w in words if w in self.at}
+        if np.count_nonzero(again) <= self.cache_words // 2:
+            keep.update(compress(self.at, again.tolist()))
+        own = list(keep)
+        self.ids, self.ends = _gather(self.ids, self.ends, self.entries(own))
+        self.at = dict(zip(own, range(len(own)), strict=True))
+        self.used = np.zeros(len(own), bool)
+        self.bytes = sum(map(len, own))
 
     def learn(self, words: list[str]) -> None:
         ids, sizes = [self.ids], [np.diff(self.ends)]
@@ -187,6 +188,7 @@ class WordEncoder:
             sizes.append(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(part)))
         n = len(self.at)
         self.at.update((w, n + i) for i, w in enumerate(words))
+        self.used = np.concatenate([self.used, np.zeros(len(words), bool)])
         self.bytes += sum(map(len, words))
         self.ids = np.concatenate(ids)
         self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
@@ -214,7 +216,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
         if not self.by_word:
-            got = [x.ids for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
         split = pc.ascii_split_whitespace(texts)
@@ -228,8 +230,9 @@ class WordEncoder:
         entry = self.entries(own)
         unknown = np.flatnonzero(entry < 0)
         if len(self.at) + len(unknown) > self.cache_words or self.bytes > CACHE_BYTES:
-            self.keep(own)
+            self.forget(own)
             entry = self.entries(own)
+        self.used[entry[entry >= 0]] = True
         entry[unknown] = len(self.at) + np.arange(len(unknown))
         self.learn([own[i] for i in unknown])
         # the ids of each different word of the batch, its tail put back, then those of all words
@@ -293,6 +296,11 @@ def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
         yield pa.concat_arrays(names), pa.concat_arrays(texts)
 
 
+def id_type(vocabulary: str, end_id: int) -> np.dtype:
+    """What holds every id of the vocabulary, and the end id."""
+    return np.dtype("<u2" if max(word_encoder(vocabulary).top, end_id) < 1 << 16 else "<u4")
+
+
 CHUNKS = "shard int, chunk long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"
 _NONE = -(1 << 63)  # the place of null ids in the order
 
@@ -308,7 +316,7 @@ def shard_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:
 
 
 def encoded(docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    """(shard, id, ids binary) of every document, ids as four little-endian octets each, the end id behind them.
+    """(shard, id, ids binary) of every document, ids as two little-endian octets each or, in larger vocabularies, four, the end id behind them.
 
     Shard s holds ids from bound s - 1 to bound s; rows of an id that is a bound are dealt to the
     shards on its two sides, and to all between equal bounds, by a hash of their text.
@@ -320,6 +328,7 @@ def encoded(docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
         most = PIECE_BYTES if encoder.by_word else WHOLE_BYTES
+        kind = id_type(vocabulary, end_id)
 
         def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(0).fill_null(_NONE).to_numpy()
@@ -331,15 +340,14 @@ def encoded(docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str
         for names, texts in _merged(map(shard, batches), most):
             for i, j in _pieces(texts, most):
                 ids, sizes = encoder.encode(texts.slice(i, j - i))
-                out = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u4")  # after each document
-                offsets = np.concatenate([[0], 4 * np.cumsum(sizes + 1)]).astype(np.int32)
+                out = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype(kind)  # after each document
+                offsets = np.concatenate([[0], kind.itemsize * np.cumsum(sizes + 1)]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
                 own = names.slice(i, j - i)
                 # rows' ids are copied to the JVM: a few hundred documents at a time
                 for k in range(0, j - i, 500):
                     part = own.slice(k, 500)
                     yield pa.RecordBatch.from_arrays([*part.flatten(), packed.slice(k, 500)], names=["shard", "id", "ids"])
-        encoder.leave()
 
     return picked.mapInArrow(B.tidy(run), "shard int, id long, ids binary")
 
@@ -363,6 +371,7 @@ def write_tokens(
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     bounds = shard_bounds(docs, id_col, shards)
     rows = encoded(docs, vocabulary, bounds, id_col=id_col, text_col=text_col, end_id=end_id)
+    kind = id_type(vocabulary, end_id)
     ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +397,7 @@ def write_tokens(
                     if held:
                         yield close()
                     shard, chunk = now, 0
-                held.append(np.frombuffer(packed[i].as_buffer(), "<u4"))
+                held.append(np.frombuffer(packed[i].as_buffer(), kind).astype("<u4"))
                 docs_held.append(batch.column(1)[i].as_py())
                 sizes_held.append(len(held[-1]))
                 n_held += sizes_held[-1]
