@@ -45,9 +45,48 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once and cut its lineage: it is written as Parquet to the shared folder and read back.
+
+    Unlike a checkpoint it is read by columns, and its size is known to the planner, whose estimates
+    of checkpoints multiply with every join of an iteration.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Remove what cut() wrote, once nothing that will be computed reads it."""
+    for df in cuts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a key up to which it is no hot one, however few rows there are.
+HOT_ROWS = 1000
+
+
+def hot_limit(spark: SparkSession, rows: int) -> int:
+    """Rows of a key beyond which it is split: at most four such keys a shuffle partition can exist."""
+    return max(HOT_ROWS, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, count: str, limit: int) -> DataFrame:
+    """left joined with right, which has a row for each key and, in ``count``, left's rows of that key.
+
+    A key of more than ``limit`` rows is dealt over count / limit salts, right's row being copied
+    to each. Such keys are broadcast to left: as their counts add up to no more than left's rows,
+    there are at most rows / limit of them.
+    """
+    pieces = F.ceil(F.col(count) / F.lit(limit)).cast("int")
+    hot = right.where(F.col(count) > limit).select(F.col(on).alias("__hot"), pieces.alias("__pieces"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.coalesce("__pieces", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), left[on] == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot", "__pieces")
+    copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
+    return dealt.join(copied, [on, "__salt"]).drop("__salt")
 
 
 def text_or_empty(col: Column | str) -> Column:

@@ -12,18 +12,26 @@ as one, and not for each other.
 2. Sets that share a band are candidates. A pair at the threshold shares none of 40 bands of 5
    with probability (1 - 0.8^5)^40 = 1.2e-7, and less above it. Each band's sets are tied to
    the least of them, and the components of these ties group everything that must be compared.
-3. A group is cut into blocks of ``BLOCK`` sets, and every two blocks are a unit of work of
-   bounded size, on whichever task. In a unit, MinHash values are compared step by step; after
-   each step a pair is dropped if, given its matches, the posterior probability (uniform prior)
-   that its similarity reaches the threshold is below ``TOLERANCE``. What is left is verified
-   on the shingle sets themselves. A unit returns a row for each of its sets: its number of
-   links and one tie to another set it is linked with; pairs are never rows.
+3. A group is cut into blocks of about ``BLOCK`` sets or ``BLOCK_BYTES`` of text. Each block, and
+   every two blocks with sets that share a band, are a unit of work of bounded size, on whichever
+   task; a set goes to the units of those blocks only that it shares a band with, so that groups
+   that hang together by chains of bands cost what their shared bands do. In a unit, MinHash
+   values are compared step by step; after each step a pair is dropped if, given its matches, the
+   posterior probability (uniform prior) that its similarity reaches the threshold is below
+   ``TOLERANCE``. What is left is verified on the shingle sets themselves. A unit returns a row for
+   each of its sets: its number of links and one tie to another set it is linked with; pairs are
+   never rows.
 4. The ties' components are the classes.
 
+Joins on bands, groups, classes and sets, any of which may hold a third of all rows, know each
+key's rows beforehand and deal those of many rows over salts (``spread_join``).
+
 Words are separated by white space and compared as they are. Defined results: a text of one to
 four words has one shingle, all its words; a null text or one without words is a class of its
 own, without links; rows that repeat a text are copies; rows that repeat an id keep their own
-texts' classes; an empty table gives no rows; other columns are not read.
+texts' classes, which then may have one class id (``details`` has a key that no two classes share);
+texts of any length are read whole, one longer than ``BLOCK_BYTES`` being a block or more by itself;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,16 +41,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
-from stratafold.llm._common import cut, small_batches, table, text_or_empty
+from stratafold.llm._common import cut, discard, hot_limit, small_batches, spread_join, table, text_or_empty
 
 THRESHOLD, SHINGLE, BANDS, ROWS = 0.8, 5, 40, 5
-STEP, TOLERANCE, BLOCK = 40, 1e-7, 128
-#: Sets to compare whose keys are broadcast to the texts (about 40 bytes each); above, both are shuffled.
-MAX_BROADCAST_SETS = 1_000_000
+STEP, TOLERANCE, BLOCK, BLOCK_BYTES = 40, 1e-7, 128, 4 << 20
+#: Bytes of the compared sets' keys and units that are broadcast to the texts; above, both are shuffled.
+MAX_BROADCAST_BYTES = 32 << 20
 _HASHES = BANDS * ROWS
 _RANDOM = np.random.default_rng(20_240_229)
 _A = _RANDOM.integers(1, 1 << 32, _HASHES, np.uint32) | np.uint32(1)
@@ -101,13 +110,15 @@ def set_ids(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key long, set_id binary or null, node long, bands array<long>); key is the text's xxhash64."""
+    """(doc_id, key long, set_id binary or null, node long, bands array<long>, octets long); key is the text's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = B.mix(np.arange(1, ROWS + 1, dtype=_U64) * B._BASE) | _U64(1)
         for batch in batches:
             at = 0
-            for s in B.slices(B.strings(batch.column(1))):
+            texts = B.strings(batch.column(1))
+            octets = pc.binary_length(texts).cast(pa.int64())
+            for s in B.slices(texts):
                 h, ends = shingles(s)
                 n = len(ends) - 1
                 full = np.diff(ends) > 0
@@ -118,42 +129,45 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names = [x.tobytes() if f else None for x, f in zip(ids, full, strict=True)]
                 sizes = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(bands[full].reshape(-1)))
-                cols = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(names, pa.binary()), pa.array(ids[:, 0].view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "set_id", "node", "bands"])
+                cols = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(names, pa.binary()), pa.array(ids[:, 0].view(np.int64)), lists, octets.slice(at, n)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "set_id", "node", "bands", "octets"])
                 at += n
 
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text_or_empty(text)).alias("key"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(B.tidy(run), f"doc_id {kind}, key long, set_id binary, node long, bands array<bigint>")
+    return picked.mapInArrow(B.tidy(run), f"doc_id {kind}, key long, set_id binary, node long, bands array<bigint>, octets long")
 
 
 # --- connected components ------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, comp): the least node of each node's component, for nodes with an edge.
 
-    Large-star and small-star contraction: a few shuffles of the edges each round, about the
-    logarithm of the longest path rounds, and a checkpoint after each.
+    Large-star and small-star contraction: every node above b is tied to the least node that b is
+    tied to or is, then every node's lower neighbours and itself to the least of them, until
+    nothing changes: about the logarithm of the longest path rounds, each a few shuffles of the
+    edges, written and read back. Nodes of many edges are dealt over salts.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e)
-    last = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        e = cut(small.where("a <> b").distinct())
+    spark = edges.sparkSession
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
+    while last[0]:
+        limit = hot_limit(spark, last[0])
+        # (b, its least neighbour or itself, its upper neighbours)
+        both = e.select("a", "b", F.lit(0).alias("up")).union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("up")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.sum("up").alias("n")).where("n > 0").select(F.col("a").alias("b"), F.least("a", "m").alias("m"), "n")
+        large = spread_join(e, least, "b", "n", limit).select("a", F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, "a", "n", limit)
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        before, e = e, cut(small.where("a <> b").distinct())
+        discard(before)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("the components did not settle")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
@@ -237,52 +251,57 @@ def _forest(pairs: np.ndarray, n: int) -> list[int]:
 
 
 def _links(units: DataFrame, threshold: float) -> DataFrame:
-    """(comp, lo, hi, blk, set_id, text) -> (set_id, links, tie) rows, by unit."""
+    """(comp, lo, hi, blk, set_id, n_texts, text) -> (set_id, links, text_links, tie) rows, by unit."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        lo, hi = rows[0][1], rows[0][2]
-        members = sorted({(r[3], r[4], r[5]) for r in rows})  # block, set, text
-        sig, sets, kept = [], [], []
-        for s in B.slices(B.strings(pa.array([m[2] for m in members], pa.large_string()))):
+    def solve(held: dict[tuple, tuple], split_at: int | None) -> pa.RecordBatch:
+        members = sorted(held.items())  # (block, set) to (number of texts, text)
+        sig, sets, kept, weight = [], [], [], []
+        for s in B.slices(B.strings(pa.array([t for _, (_, t) in members], pa.large_string()))):
             h, ends = shingles(s)
             ids = set_ids(h, ends)
             got = iter(signatures(h, ends))
             for i in range(len(ends) - 1):
                 if ends[i + 1] > ends[i]:
                     values = next(got)
-                    own = members[s.first + i][:2]
-                    # else a row that only shares the id, or another text with the same set
-                    if ids[i].tobytes() == own[1] and (not kept or kept[-1] != own):
+                    own, (n, _) = members[s.first + i]
+                    if ids[i].tobytes() == own[1]:  # else a row that only shares the id and the hash
                         sig.append(values)
                         sets.append(h[ends[i] : ends[i + 1]])
                         kept.append(own)
-        split = None if lo == hi else sum(m[0] == lo for m in kept)
+                        weight.append(n)
+        split = None if split_at is None else sum(m[0] == split_at for m in kept)
         pairs = similar_pairs(np.asarray(sig, np.uint32).reshape(len(sets), _HASHES), sets, split, threshold)
         links = np.bincount(pairs.reshape(-1), minlength=len(sets))
+        n = np.asarray(weight, np.int64)
+        texts = np.zeros(len(sets), np.int64)
+        np.add.at(texts, pairs[:, 0], n[pairs[:, 1]])
+        np.add.at(texts, pairs[:, 1], n[pairs[:, 0]])
         ties = _forest(pairs, len(sets))
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays(
-            [pa.array([kept[i][1] for i in some], pa.binary()), pa.array(links[some], pa.int64()), pa.array([kept[ties[i]][1] for i in some], pa.binary())],
-            names=["set_id", "links", "tie"],
+            [pa.array([kept[i][1] for i in some], pa.binary()), pa.array(links[some], pa.int64()), pa.array(texts[some], pa.int64()), pa.array([kept[ties[i]][1] for i in some], pa.binary())],
+            names=["set_id", "links", "text_links", "tie"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        unit, held = None, {}
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(6)]
-            for row in zip(*cols, strict=True):
-                if held and row[:3] != held[0][:3]:
-                    yield solve(held)
-                    held = []
-                held.append(row)
+            for i, row in enumerate(zip(*cols, strict=True)):
+                if row[:3] != unit:
+                    if held:
+                        yield solve(held, None if unit[1] == unit[2] else unit[1])
+                    unit, held = row[:3], {}
+                if row[3:5] not in held:  # rows that repeat an id and a text come more than once
+                    held[row[3:5]] = (row[5], batch.column(6)[i].as_py())
         if held:
-            yield solve(held)
+            yield solve(held, None if unit[1] == unit[2] else unit[1])
 
     keys = ["comp", "lo", "hi"]
     spark = units.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = units.select(*keys, "blk", "set_id", "text").repartition(n, *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(B.tidy(run), "set_id binary, links long, tie binary")
+    dealt = units.select(*keys, "blk", "set_id", "n_texts", "text").repartition(n, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(B.tidy(run), "set_id binary, links long, text_links long, tie binary")
 
 
 def _least(id_col: str, *others: str) -> Column:
@@ -296,47 +315,79 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     The head is the set of the class's least document, which is (rep, rep_key); that of every set
     is its own least one.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     feats = cut(_features(docs, id_col, text_col))
     sets = feats.where("set_id is not null").groupBy("set_id").agg(
-        _least("doc_id", "key").alias("d"), F.count("*").alias("n_copies"), F.first("node").alias("node"), F.first("bands").alias("bands")
-    ).select("set_id", F.col("d.doc_id").alias("rep"), F.col("d.key").alias("rep_key"), "n_copies", "node", "bands")
+        _least("doc_id", "key").alias("d"), F.count("*").alias("n_copies"), F.count_distinct("key").alias("n_texts"),
+        F.first("node").alias("node"), F.first("bands").alias("bands"), F.max("octets").alias("octets"),
+    ).select("set_id", F.col("d.doc_id").alias("rep"), F.col("d.key").alias("rep_key"), "n_copies", "n_texts", "node", "bands", "octets")
     sets = cut(sets)
+    limit = hot_limit(spark, BANDS * sets.count())
     keys = sets.select("node", F.explode("bands").alias("band"))
-    lead = keys.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("band", "lead")
-    ties = keys.join(lead, "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    lead = keys.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other"), F.count("*").alias("n")).where("lead <> other").select("band", "lead", "n")
+    ties = spread_join(keys, lead, "band", "n", limit).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     comps = cut(components(ties))
-
-    # units: a group's blocks, two by two
-    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = sets.join(comps, "node").join(blocks, "comp").select(
-        "comp", "set_id", F.col("rep").alias("__rep"), F.col("rep_key").alias("__key"), "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("blk")
-    )
-    members = cut(members)
+    members = _members(sets, comps, block)
+    discard(comps)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    near = F.broadcast(members) if members.count() <= MAX_BROADCAST_SETS else members
-    units = texts.join(near, texts["__id"].eqNullSafe(near["__rep"]) & (F.xxhash64(texts["text"]) == near["__key"])).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    units = units.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "set_id", "text")
+    held = members.agg(F.sum(F.lit(64) + 4 * F.size("others"))).first()[0] or 0
+    near = F.broadcast(members) if held <= MAX_BROADCAST_BYTES else members
+    units = texts.join(near, texts["__id"].eqNullSafe(near["__rep"]) & (F.xxhash64(texts["text"]) == near["__key"])).withColumn("other", F.explode("others"))
+    units = units.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "set_id", "n_texts", "text")
     found = cut(_links(units, threshold))
+    discard(members)
 
-    links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
-    classes = components(found.select(F.col("set_id").alias("a"), F.col("tie").alias("b")))
-    own = sets.select("set_id", "rep", "rep_key", "n_copies")
+    links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"), F.sum("text_links").alias("text_links"))
+    classes = cut(components(found.select(F.col("set_id").alias("a"), F.col("tie").alias("b"))))
+    own = sets.select("set_id", "rep", "rep_key", "n_copies", "n_texts")
     named = classes.join(own, classes["node"] == own["set_id"]).select("comp", "set_id", "rep", "rep_key")
-    heads = named.groupBy("comp").agg(_least("rep", "rep_key", "set_id").alias("h"))
-    named = named.join(heads, "comp").select("set_id", F.col("h.rep").alias("least"), (F.col("h.set_id") == F.col("set_id")).alias("head"))
+    heads = named.groupBy("comp").agg(_least("rep", "rep_key", "set_id").alias("h"), F.count("*").alias("n"))
+    named = spread_join(named, heads, "comp", "n", limit).select(F.col("set_id"), F.col("h.rep").alias("least"), F.col("h.set_id").alias("of"))
     whole = own.join(named, "set_id", "left").join(links, "set_id", "left").select(
-        "set_id", "rep", "rep_key", F.coalesce("head", F.lit(True)).alias("head"),
-        F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies",
+        "set_id", "rep", "rep_key", F.coalesce(F.col("of") == F.col("set_id"), F.lit(True)).alias("head"),
+        F.when(F.col("of").isNull(), F.col("rep")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies",
+        (F.coalesce("text_links", F.lit(0)) + F.col("n_texts") - 1).cast("long").alias("n_text_links"), F.hex(F.coalesce("of", "set_id")).alias("class_key"),
     )
     return feats, whole
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links, n_copies) for every row of docs."""
+def _members(sets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """(comp, set_id, __rep, __key, n_texts, blk, others) of the sets to compare: others are the blocks with which they are."""
+    spark = sets.sparkSession
+    size = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("octets") / F.lit(BLOCK_BYTES))).cast("int")
+    tied = cut(sets.join(comps, "node"))
+    blocks = tied.groupBy("comp").agg(size.alias("blocks"), F.count("*").alias("n"))
+    limit = hot_limit(spark, BANDS * tied.count())
+    dealt = spread_join(tied, blocks, "comp", "n", limit).select(
+        "comp", "node", "set_id", F.col("rep").alias("__rep"), F.col("rep_key").alias("__key"), "n_texts", "blocks",
+        F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("blk"), F.when(F.col("blocks") > 1, F.col("bands")).alias("bands"),
+    )
+    dealt = cut(dealt)
+    # of groups of several blocks: each band's blocks, or that they are all of its group's
+    keys = dealt.where("blocks > 1").select("node", "blk", "blocks", F.explode("bands").alias("band"))
+    at = keys.groupBy("band").agg(F.collect_set("blk").alias("at"), F.first("blocks").alias("all"), F.count("*").alias("n")).where(F.size("at") > 1)
+    at = at.select("band", "n", (F.size("at") == F.col("all")).alias("full"), F.when(F.size("at") < F.col("all"), F.col("at")).alias("at"))
+    shared = spread_join(keys.select("node", "band"), at, "band", "n", limit)
+    shared = shared.groupBy("node").agg(F.max("full").alias("full"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    others = F.when(F.col("full"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array_union(F.array("blk"), F.coalesce("at", F.array().cast("array<int>"))))
+    out = cut(dealt.join(shared, "node", "left").select("comp", "set_id", "__rep", "__key", "n_texts", "blk", others.alias("others")))
+    discard(tied, dealt)
+    return out
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, details: bool = False) -> DataFrame:
+    """(id, class_id, n_links, n_copies) for every row of docs.
+
+    details: two more columns, n_text_links, the other different texts that a text is linked to, those
+    of its own shingle set included, and class_key, which is null for rows without words.
+    """
     feats, whole = _classes(docs, id_col, text_col, threshold, block)
-    some = feats.where("set_id is not null").select("doc_id", "set_id").join(whole, "set_id").select("doc_id", "class_id", "n_links", "n_copies")
-    none = feats.where("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(1).cast("long"))
+    cols = ["class_id", "n_links", "n_copies", *(["n_text_links", "class_key"] if details else [])]
+    some = spread_join(feats.where("set_id is not null").select("doc_id", "set_id", "key"), whole, "set_id", "n_copies", hot_limit(docs.sparkSession, feats.count())).select("doc_id", *cols)
+    none = feats.where("set_id is null").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(1).cast("long"), *([F.lit(0).cast("long"), F.lit(None).cast("string")] if details else [])
+    )
     return some.union(none).withColumnRenamed("doc_id", id_col)
 
 
@@ -364,19 +415,5 @@ def keep_heads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return once.union(those(cut(blank)))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row for each id that names a class; the same columns.
-
-    By the id alone: where ids repeat, classes of one name keep a single row between them, any of
-    that id's. ``keep_heads`` keeps one for each class.
-    """
-    classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    heads = cut(classes.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__head")))
-    once = heads.distinct()
-    kept = docs.join(once, docs[id_col].eqNullSafe(once["__head"]), "left_semi")
-    # texts are shuffled by id a second time only where ids repeat
-    return kept if heads.count() == once.count() else kept.dropDuplicates([id_col])
-
-
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents"), details=True)

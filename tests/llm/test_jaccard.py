@@ -61,20 +61,100 @@ def planted(seed, n=60):
 
 @pytest.mark.parametrize("seed,block,limit", [(1, 128, 10**6), (2, 16, 10**6), (3, 7, 0)])
 def test_matches_brute_force(spark, monkeypatch, seed, block, limit):
-    monkeypatch.setattr(jaccard, "MAX_BROADCAST_SETS", limit)
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_BYTES", limit)
     rows = planted(seed)
     docs = spark.createDataFrame([(a, b, b"x") for a, b in rows], "doc_id long, text string, set_id binary")
     assert sorted(map(tuple, jaccard.jaccard_join(docs, block=block).collect())) == brute(rows)
 
 
-def test_repeated_ids_and_keep_one(spark):
+def test_repeated_ids(spark):
     rows = planted(4, 20) + [(100, "another text under the first id altogether"), (100, "another text under the first id altogether")]
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, class_id int")
-    got = jaccard.jaccard_join(docs).collect()
-    assert sorted(map(tuple, got)) == brute(rows)
-    kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _, _ in brute(rows)})
+    assert sorted(map(tuple, jaccard.jaccard_join(docs).collect())) == brute(rows)
+
+
+def classes(rows):
+    """Lists of (id, text) rows of one class, by comparing all pairs; rows without words by themselves."""
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 10 * len(a & b) >= 8 * len(a | b):
+                up[root(i)] = root(j)
+    out = {}
+    for i, r in enumerate(rows):
+        out.setdefault(root(i), []).append(r)
+    return list(out.values())
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_one_document_of_each_class_stays(spark, seed):
+    """Ids repeat, across classes and within them; also the four rows of two texts and ids."""
+    r = random.Random(seed)
+    rows = [(r.choice([None, *range(12)]), t) for _, t in planted(seed, 16)]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows += [(101, a), (105, a), (105, b), (105, c)]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, class_id int")
+    kept = [(x.doc_id, x.text) for x in jaccard.keep_heads(docs).collect()]
+    for members in classes(rows):
+        if shingle_set(members[0][1]):
+            inside = [k for k in kept if k in members]
+            least = min((i is None, i or 0) for i, _ in members)
+            assert len(inside) == 1 and (inside[0][0] is None, inside[0][0] or 0) == least
+    assert {(101, a), (105, b), (105, c)} <= set(kept) and (105, a) not in kept
+    words = [k for k in kept if shingle_set(k[1])]
+    assert len(words) == sum(bool(shingle_set(m[0][1])) for m in classes(rows))
+    assert sorted(map(str, (k for k in kept if not shingle_set(k[1])))) == sorted(str(x) for x in rows if not shingle_set(x[1]))
+
+
+def test_details(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    near = a.rsplit(" ", 1)[0] + " z"
+    rows = [(1, a), (2, a.replace(" ", "\n")), (3, a), (4, near), (5, b), (5, a + " " + b), (6, None)]
+    got = {(r.doc_id, r.n_text_links, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), details=True).collect()}
+    assert got == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (5, 0, 0), (6, 0, 0)}
+    keys = [r.class_key for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), details=True).where("doc_id = 5").collect()]
+    assert len(set(keys)) == 2 and None not in keys  # two classes that share an id
+
+
+def test_chains_are_compared_where_they_share_bands(spark):
+    """A long chain of texts, each near the next and far from most: few units, no link lost."""
+    r = random.Random(8)
+    words = [f"v{r.randrange(10**6)}" for _ in range(4000)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 200])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_join(docs, block=16).collect())) == brute(rows)
+    feats, _ = jaccard._classes(docs, "doc_id", "text", 0.8, 4)
+    sets = feats.selectExpr("set_id", "doc_id as rep", "key as rep_key", "1L as n_copies", "1L as n_texts", "node", "bands", "octets")
+    keys = sets.selectExpr("node", "explode(bands) as band")
+    ties = keys.join(keys.groupBy("band").agg({"node": "min"}).withColumnRenamed("min(node)", "b"), "band").selectExpr("node as a", "b")
+    members = jaccard._members(sets, jaccard.components(ties), 4).collect()
+    blocks = max(m.blk for m in members) + 1
+    assert sum(len(m.others) for m in members) < 0.6 * len(members) * blocks
+
+
+@pytest.mark.parametrize("limit", [2, 10**6])
+def test_hot_keys_are_dealt_over_salts(spark, monkeypatch, limit):
+    monkeypatch.setattr("stratafold.llm._common.HOT_ROWS", limit)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = planted(11, 20)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, jaccard.jaccard_join(docs, block=16).collect())) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard.op7_jaccard_join(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == brute(rows)
 
 
 def test_real_table(spark):
