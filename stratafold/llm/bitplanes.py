@@ -70,6 +70,10 @@ _HEAD = struct.Struct("<4sBBHIQI")
 
 # fixed values: pre-tokenizers' patterns that match no white space, each word's tokens by themselves
 WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: Letters whose case and composition no normalizer treats in a way of its own: one pre-token in a row, for these patterns.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: ASCII marks but the apostrophe, which contractions begin with: a run of them behind a letter or digit is a pre-token.
+TAIL = r"[!-&(-/:-@\[-`{-~]+$"
 #: Normalizers that leave the parts between white space to themselves.
 WORD_NORMALIZERS = frozenset(("NFC", "NFD", "Lowercase"))
 
@@ -150,10 +154,13 @@ class WordEncoder:
             and len(self.special) <= 16
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].isascii() or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
         )
-        # and do not depend on case, nor those before a stop on the stop
+        # and do not depend on case
         self.lower = self.by_word and any(x["type"] == "Lowercase" for x in normal)
-        tails = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"]
-        self.tails = np.asarray([0, *(t[0] for t in tails)], np.uint32) if self.lower and all(len(t) == 1 for t in tails) else None
+        # tokens that end a pre-token, where the model marks them
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.top + 1, bool)
+        for token, i in spec["model"]["vocab"].items() if self.by_word and suffix else ():
+            self.last[i] = token.endswith(suffix)
         self.clear()
 
     def clear(self) -> None:
@@ -180,38 +187,46 @@ class WordEncoder:
         self.bytes = sum(map(len, own))
 
     def learn(self, words: list[str]) -> None:
+        """Put words into the cache that are not there."""
+        # words of letters alone are pre-tokens, each up to a token that ends one
+        simple = np.asarray(pc.match_substring_regex(pa.array(words, pa.string()), f"^[{LETTERS}]+$")) if self.lower and self.last.any() and words else np.zeros(len(words), bool)
+        order = [*compress(words, simple), *compress(words, ~simple)]
         ids, sizes = [self.ids], [np.diff(self.ends)]
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.asarray(got.ids, np.uint32))
-            sizes.append(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(part)))
+        n = int(simple.sum())
+        for i in [*range(0, n, 4096), *range(n, len(order), 4096)]:
+            part = order[i : min(i + 4096, n if i < n else len(order))]
+            if i < n:
+                got = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                each = np.diff(np.flatnonzero(self.last[got]), prepend=-1)
+                if len(each) != len(part):
+                    raise ValueError("a word of letters has more than one last token")
+            else:
+                one = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                got, each = np.asarray(one.ids, np.uint32), np.bincount(np.asarray(one.word_ids, np.int64), minlength=len(part))
+            ids.append(got)
+            sizes.append(each)
         n = len(self.at)
-        self.at.update((w, n + i) for i, w in enumerate(words))
-        self.used = np.concatenate([self.used, np.zeros(len(words), bool)])
-        self.bytes += sum(map(len, words))
+        self.at.update((w, n + i) for i, w in enumerate(order))
+        self.used = np.concatenate([self.used, np.zeros(len(order), bool)])
+        self.bytes += sum(map(len, order))
         self.ids = np.concatenate(ids)
         self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
-    def forms(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """What each word is looked up as, and the full stop (1) or comma (2) taken off its end.
+    def forms(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """What each word is looked up as: its front, in lower case, and the marks behind its last letter or digit.
 
-        Of ASCII words only, and of vocabularies where both steps leave the ids as they are.
-        Words that might hold a special token keep their form.
+        Of ASCII and Latin words only, and of vocabularies where both steps leave the ids as they
+        are. Words that might hold a special token keep their form and have no tail.
         """
-        tail = np.zeros(len(words), np.int64)
         if not self.lower or not len(words):
-            return words, tail
-        plain = pc.string_is_ascii(words)
+            return words, pa.array([""] * len(words), words.type)
+        plain = pc.match_substring_regex(words, "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$")
         for token in self.special:
             plain = pc.and_(plain, pc.invert(pc.match_substring(words, token, ignore_case=True)))
-        words = pc.if_else(plain, pc.ascii_lower(words), words)
-        if self.tails is None:
-            return words, tail
-        ends = pc.and_(plain, pc.match_substring_regex(words, "[a-z0-9][.,]$"))
-        stop = np.asarray(pc.ends_with(words, "."))
-        tail = np.where(np.asarray(ends), np.where(stop, 1, 2), 0)
-        return pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words), tail
+        words = pc.if_else(plain, pc.utf8_lower(words), words)
+        ends = pc.and_(plain, pc.match_substring_regex(words, f"[0-9{LETTERS}]{TAIL}"))
+        front = pc.if_else(ends, pc.replace_substring_regex(words, TAIL, ""), words)
+        return front, pc.if_else(ends, pc.replace_substring_regex(words, f"^.*[0-9{LETTERS}]", ""), "")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
@@ -224,23 +239,22 @@ class WordEncoder:
         coded = split.values.slice(word_ends[0], word_ends[-1] - word_ends[0]).dictionary_encode()
         word_ends = word_ends - word_ends[0]
         del split
-        forms, tail = self.forms(coded.dictionary)
-        forms = forms.dictionary_encode()
+        # each different word's front and tail, one after the other
+        n = len(coded.dictionary)
+        forms = pa.concat_arrays([x.cast(pa.large_string()) for x in self.forms(coded.dictionary)]).dictionary_encode()
         own = forms.dictionary.to_pylist()
+        place = np.asarray(forms.indices).reshape(2, n).T.reshape(-1) if n else np.zeros(0, np.int64)
         entry = self.entries(own)
-        unknown = np.flatnonzero(entry < 0)
-        if len(self.at) + len(unknown) > self.cache_words or self.bytes > CACHE_BYTES:
+        if len(self.at) + np.count_nonzero(entry < 0) > self.cache_words or self.bytes > CACHE_BYTES:
             self.forget(own)
             entry = self.entries(own)
         self.used[entry[entry >= 0]] = True
-        entry[unknown] = len(self.at) + np.arange(len(unknown))
+        unknown = np.flatnonzero(entry < 0)
         self.learn([own[i] for i in unknown])
-        # the ids of each different word of the batch, its tail put back, then those of all words
-        ids, ends = _gather(self.ids, self.ends, entry[np.asarray(forms.indices)] if own else entry)
-        if tail.any():
-            ids = np.insert(ids, ends[1:][tail > 0], self.tails[tail[tail > 0]])
-            ends = ends + np.concatenate([[0], np.cumsum(tail > 0)])
-        ids, done = _gather(ids, ends, np.asarray(coded.indices))
+        entry[unknown] = self.entries([own[i] for i in unknown])
+        # the ids of each different word of the piece, then those of all words
+        ids, ends = _gather(self.ids, self.ends, entry[place])
+        ids, done = _gather(ids, ends[::2], np.asarray(coded.indices))
         return ids, done[word_ends[1:]] - done[word_ends[:-1]]
 
 

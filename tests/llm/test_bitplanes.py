@@ -100,3 +100,15 @@ def test_an_id_that_repeats_is_spread_over_shards(spark):
 def test_the_query(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
     assert sorted(map(tuple, bitplanes.op4_token_planes(spark, "/root/testdata/sf0.001").collect())) == brute(rows)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(alphabet=list("aZé É'sS.,%#-_<|>1 9ßİΣς́  \x1c\t\nñ×ªendoftxt"), max_size=30), min_size=1, max_size=6))
+def test_words_and_tails_are_the_tokenizers(texts):
+    tokenizer = ENCODER.tokenizer
+    ids, sizes = ENCODER.encode(pa.array(texts, pa.large_string()))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+ENCODER = bitplanes.WordEncoder(VOCABULARY)
