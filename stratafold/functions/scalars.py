@@ -80,6 +80,20 @@ def chain_memory(chain: Column) -> Column:
     return F.aggregate(methods(chain), F.lit(0).cast("long"), lambda a, m: a + F.coalesce(parse_mem(F.get(m["params"], F.lit(0))), F.lit(0).cast("long")))
 
 
+def method_memory(name: Column, m: Column, hash_bits: Column) -> tuple[Column, Column]:
+    """Octets that a method with a dictionary or block of m takes to pack and to unpack; unknown ones take none."""
+    table, none = F.pow(F.lit(2.0), hash_bits).cast("long"), F.lit(0).cast("long")
+    lzp = 2 * m + 8 * table
+    pack = F.when(name == "lzma", m * 9 + 1048576).when(name == "rep", m + 4 * table).when(name == "lzp", lzp).when(name == "ppmd", m).otherwise(none)
+    return pack, F.when(name == "lzma", m + 1048576).when(name == "lzp", lzp).when(name.isin("rep", "ppmd"), m).otherwise(none)
+
+
+def compress_memory(chain: Column) -> Column:
+    """Octets to pack with a chain: nine dictionaries for ``lzma``, two blocks for ``lzp``, else as to unpack."""
+    times = lambda m: F.when(m["name"] == "lzma", 9).when(m["name"] == "lzp", 2).otherwise(1)
+    return F.aggregate(methods(chain), F.lit(0).cast("long"), lambda a, m: a + times(m) * F.coalesce(parse_mem(F.get(m["params"], F.lit(0))), F.lit(0).cast("long")))
+
+
 def limit_memory(chain: Column, cap: int) -> Column:
     """The chain with no method's first parameter above ``cap`` octets; what is lower stays as written."""
 
@@ -109,3 +123,62 @@ def stream_method(stream: Column) -> Column:
 
 def stream_payload(stream: Column) -> Column:
     return F.unhex(F.regexp_replace(F.hex(stream), "^(?:..)*?00", ""))
+
+
+def replace_nth(text: Column, what: str, by: str, n: int) -> Column:
+    """The nth occurrence (from 1) replaced; text with fewer is as it was."""
+    parts = F.split(text, "\\Q" + what + "\\E", -1)
+    done = F.concat_ws(by, F.array_join(F.slice(parts, 1, n), what), F.array_join(F.slice(parts, n + 1, 1 << 30), what))
+    return F.when(F.size(parts) > n, done).otherwise(text)
+
+
+def starts(text: Column, prefix: str) -> Column:
+    """Whatever the case."""
+    return F.lower(text).startswith(prefix.lower())
+
+
+def ends(text: Column, suffix: str) -> Column:
+    return F.lower(text).endswith(suffix.lower())
+
+
+def little_endian(data: Column, octets: int) -> Column:
+    """The unsigned number in the first octets of a binary, low ones first; null where there are fewer."""
+    h = F.hex(F.substring(data, 1, octets))
+    turned = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(octets))])
+    return F.when(F.length(h) == 2 * octets, F.conv(turned, 16, 10).cast("decimal(20,0)"))
+
+
+def round_up(n: Column, step: int) -> Column:
+    return (F.ceil(n / F.lit(step)) * step).cast("long")
+
+
+def log_floor(n: Column) -> Column:
+    """The place of the highest one bit; null below 1."""
+    return F.when(n > 0, F.length(F.bin(n)) - 1).cast("long")
+
+
+def bounded_copy(data: Column, room: int) -> Column:
+    """struct<data, code>: the data with code 0, or code -5 where they exceed the room."""
+    fits = F.octet_length(data) <= room
+    return F.struct(F.when(fits, data).alias("data"), F.when(fits, 0).otherwise(-5).cast("long").alias("code"))
+
+
+def signature_at(data: Column, signature: str, window: int) -> Column:
+    """Where a signature stands in the first characters of a text, from 0; null if it does not."""
+    at = F.instr(F.left(data, F.lit(window)), signature)
+    return F.when(at > 0, (at - 1).cast("long"))
+
+
+def recovery_setting(share: Column) -> Column:
+    """Small shares of recovery data are so many sectors: a tenth of a percent of 4 kB, a hundredth of 64 kB."""
+    return F.when(share == "0.1%", "0*4kb").when(share == "0.01%", "0*64kb").otherwise(share)
+
+
+def hmac(text: Column, key: bytes, bits: int) -> Column:
+    """HMAC with SHA-256 or SHA-512, in hex."""
+    import hashlib
+
+    block = 64 if bits == 256 else 128
+    key = (hashlib.new(f"sha{bits}", key).digest() if len(key) > block else key).ljust(block, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(k ^ 0x36 for k in key)), text.cast("binary")), bits)
+    return F.sha2(F.concat(F.lit(bytes(k ^ 0x5C for k in key)), F.unhex(inner)), bits)

@@ -130,3 +130,69 @@ def insert(values: Column, at: int, value: Column) -> Column:
 
 def remove(values: Column, at: int) -> Column:
     return F.filter(values, lambda x, i: i != at - 1)
+
+
+def format_(spec: str, *values: Column) -> Column:
+    """The language's format: d i u c x X o e E f g G s and q; widths and precisions are Java's."""
+    return F.format_string(spec.replace("%i", "%d").replace("%u", "%d").replace("%q", '"%s"'), *values)
+
+
+def concat(values: Column, sep: str = "", i: int = 1, j: int | None = None) -> Column:
+    """The elements i to j of an array joined."""
+    last = F.size(values) if j is None else F.lit(j)
+    return F.array_join(F.slice(values, F.lit(i), F.greatest(last - i + 1, F.lit(0))), sep)
+
+
+def getn(values: Column) -> Column:
+    return F.size(values).cast("long")
+
+
+def maxn(values: Column) -> Column:
+    """The largest index with a value."""
+    at = F.transform(values, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(F.lit(0)))
+    return F.coalesce(F.array_max(at), F.lit(0)).cast("long")
+
+
+def sort(values: Column, before=None) -> Column:
+    """An array in order; before(a, b) tells whether a comes first."""
+    if before is None:
+        return F.array_sort(values)
+    return F.array_sort(values, lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0))
+
+
+def foreach(values: Column, f) -> Column:
+    return F.transform(values, f)
+
+
+def foreachi(values: Column, f) -> Column:
+    """f(index from 1, value)."""
+    return F.transform(values, lambda x, i: f(i + 1, x))
+
+
+def fmod(a: Column, b: Column) -> Column:
+    """The remainder with the sign of a."""
+    return a - F.when(a / b < 0, F.ceil(a / b)).otherwise(F.floor(a / b)) * b
+
+
+def select(n: int, *values: Column) -> Column:
+    """The values from the nth on, as an array; a negative n counts from the end."""
+    return F.array(*(values[n - 1 :] if n > 0 else values[n:]))
+
+
+def difftime(later: Column, earlier: Column) -> Column:
+    """Seconds between two times without a zone."""
+    return F.timestamp_diff("SECOND", earlier, later).cast("double")
+
+
+#: The numeric library by name; floor, mod and the like are above.
+MATH = {
+    "abs": F.abs, "acos": F.acos, "asin": F.asin, "atan": F.atan, "atan2": F.atan2, "ceil": F.ceil, "cos": F.cos, "cosh": F.cosh, "deg": F.degrees,
+    "exp": F.exp, "floor": F.floor, "fmod": fmod, "frexp": frexp, "ldexp": ldexp, "log": F.ln, "log10": F.log10, "max": F.greatest, "min": F.least,
+    "modf": modf, "pow": F.pow, "rad": F.radians, "sin": F.sin, "sinh": F.sinh, "sqrt": F.sqrt, "tan": F.tan, "tanh": F.tanh,
+}
+
+
+def random(seed: Column, low: int = 0, high: int | None = None) -> Column:
+    """A number of [0, 1), or a whole one from low to high, that the seed decides: a rerun gives the same."""
+    u = F.pmod(F.xxhash64(F.lit("random"), seed), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return u if high is None else F.floor(F.lit(low) + u * (high - low + 1)).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from stratafold.functions.running import running_before
 from stratafold.functions.scalars import extension
 from stratafold.sources.catalog import id_range, path
 
-#: Letters of sort orders.
+#: Letters of sort orders; ``g`` is the rank of a group file's type where files have one (``grp_rank``).
 ORDERS = {"g": "grp", "e": "ext", "n": "name", "p": "dir", "s": "size"}
 
 
@@ -29,6 +31,20 @@ def packed_blocks(f: DataFrame) -> DataFrame:
     )
 
 
+def block_bounds(f: DataFrame) -> DataFrame:
+    """(grp, block, first_file, last_file, start, upto): block b owns the files [start, upto) of its group, counted from 0."""
+    k = f.groupBy("grp", "block").agg(F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"), F.count("*").alias("n_files"))
+    k = running_before(k, F.col("n_files"), ["grp"], ["block"], F.floor(F.col("block") / 4096), "start")
+    return k.withColumn("upto", F.col("start") + F.col("n_files"))
+
+
+def in_blocks(f: DataFrame, bounds: DataFrame, span: int = 4096) -> DataFrame:
+    """f (grp, pos from 0) with the block whose bounds hold its place: a range join, by spans of places."""
+    spans = bounds.withColumn("_span", F.explode(F.sequence(F.floor(F.col("start") / span), F.floor((F.col("upto") - 1) / span)))).select("grp", "_span", "block", "start", "upto")
+    keyed = f.withColumn("_span", F.floor(F.col("pos") / span))
+    return keyed.join(spans, ["grp", "_span"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("upto"))).drop("_span", "start", "upto")
+
+
 def extract_until(f: DataFrame, accepted: Column) -> DataFrame:
     """Files that must be read to get at all accepted ones: per block up to its last accepted one."""
     last = F.max(F.when(accepted, F.col("file_id"))).over(Window.partitionBy("grp", "block"))
@@ -39,13 +55,15 @@ def update(old: DataFrame, new: DataFrame, mode: str) -> DataFrame:
     """Reconcile two catalogs (path, mtime, size) by path.
 
     replace: the new file wins; newer: the newer wins and new ones are added; freshen: the newer
-    wins and nothing is added; sync: what is new and nothing else, the old kept where not older.
+    wins and nothing is added; sync: what is new and nothing else, the old kept where not older. A
+    file without a time is there all the same, and older than any with one.
     """
-    o = old.select("path", *[F.col(c).alias(f"o_{c}") for c in ("mtime", "size")])
-    n = new.select("path", *[F.col(c).alias(f"n_{c}") for c in ("mtime", "size")])
+    o = old.select("path", F.lit(True).alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("mtime", "size")])
+    n = new.select("path", F.lit(True).alias("n"), *[F.col(c).alias(f"n_{c}") for c in ("mtime", "size")])
     both = o.join(n, "path", "full_outer")
-    has_old, has_new = F.col("o_mtime").isNotNull(), F.col("n_mtime").isNotNull()
-    newer = has_new & (~has_old | (F.col("n_mtime") > F.col("o_mtime")))
+    has_old, has_new = F.coalesce("o", F.lit(False)), F.coalesce("n", F.lit(False))
+    later = F.coalesce(F.col("n_mtime") > F.col("o_mtime"), F.col("n_mtime").isNotNull())
+    newer = has_new & (~has_old | later)
     keep, take = {
         "replace": (F.lit(True), has_new),
         "newer": (F.lit(True), newer),
@@ -72,11 +90,12 @@ def join_archives(archives: list[DataFrame]) -> DataFrame:
     return best.select("path", "r.*")
 
 
-def ranked(f: DataFrame, order: str, group: str | None = None) -> DataFrame:
-    """f with ``pos``: its place in a sort order such as ``gen`` or ``ges``, within its group.
+def ranked(f: DataFrame, order: str, group: str | None = None, whole: bool = False) -> DataFrame:
+    """f with ``pos``: its place in a sort order such as ``gen`` or ``es``, within its group.
 
-    A group is ranked in ranges: its keys up to the first name or size, cut to the name's first
-    four characters or to 256 octets.
+    The group is that of the order's first letter, or ``group``; whole: there is none, and the
+    places are those of the whole catalog. A group is ranked in ranges: its keys up to the first
+    name or size, cut to the name's first four characters or to 256 octets.
     """
     unknown = set(order) - set(ORDERS)
     if unknown:
@@ -89,7 +108,7 @@ def ranked(f: DataFrame, order: str, group: str | None = None) -> DataFrame:
         if k in ("name", "size", "file_id"):
             break
     within = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(coarse)])
-    out = running_before(f, F.lit(1).cast("long"), [group or ORDERS[order[0]]], keys, within, "pos")
+    out = running_before(f, F.lit(1).cast("long"), [] if whole else [group or ORDERS[order[0]]], keys, within, "pos")
     return out.withColumn("pos", F.col("pos") + 1)
 
 
@@ -112,11 +131,11 @@ def extract_plan(archived: DataFrame, present: DataFrame, policy: str) -> DataFr
 
     policy: ``overwrite``, ``skip`` what is there, or ``update`` what is older there.
     """
-    there = present.select("path", F.col("mtime").alias("there"))
-    exists = F.col("there").isNotNull()
-    replace = {"overwrite": F.lit(True), "skip": F.lit(False), "update": F.col("mtime") > F.col("there")}[policy]
-    action = F.when(~exists, "create").when(replace, "replace").otherwise("keep")
-    return archived.join(there, "path", "left").withColumn("action", action).drop("there")
+    there = present.select("path", F.lit(True).alias("exists"), F.col("mtime").alias("there"))
+    later = F.coalesce(F.col("mtime") > F.col("there"), F.col("mtime").isNotNull())
+    replace = {"overwrite": F.lit(True), "skip": F.lit(False), "update": later}[policy]
+    action = F.when(F.col("exists").isNull(), "create").when(replace, "replace").otherwise("keep")
+    return archived.join(there, "path", "left").withColumn("action", action).drop("there", "exists")
 
 
 def backup(f: DataFrame, kind: str, last_full: Column, last_any: Column) -> DataFrame:
@@ -131,15 +150,80 @@ def guard(changes: DataFrame, archives: DataFrame) -> DataFrame:
     return changes.join(known, "archive", "left").withColumn("applied", F.coalesce("open", F.lit(False))).drop("open")
 
 
+#: What writing an archive anew can do: ``info`` modes write the catalog only, without or with CRCs.
+RECOMPRESS = ("append", "smart", "all", "info", "info_crc", "no_headers")
+
+
 def recompress(f: DataFrame, blocks: DataFrame, touched: Column, mode: str) -> DataFrame:
     """blocks (grp, block) with ``action``, what happens to each when ``touched`` files change.
 
     append: blocks stay, changed files go to new ones; smart: blocks with a changed file are
-    packed again; all: every block is; info: only the catalog is written anew.
+    packed again; all: every block is; info and info_crc: only the catalog is written, without
+    and with CRCs; no_headers: every block is packed and no catalog written.
     """
     hit = f.groupBy("grp", "block").agg(F.max(touched).alias("hit"))
-    again = {"append": F.lit(False), "smart": F.coalesce("hit", F.lit(False)), "all": F.lit(True), "info": F.lit(False)}[mode]
-    return blocks.join(hit, ["grp", "block"], "left").withColumn("action", F.when(again, "repack").otherwise("copy")).drop("hit")
+    again = F.coalesce("hit", F.lit(False))
+    action = {
+        "append": F.when(again, "copy and add").otherwise("copy"),
+        "smart": F.when(again, "repack").otherwise("copy"),
+        "all": F.lit("repack"),
+        "info": F.lit("omit"),
+        "info_crc": F.lit("read and omit"),
+        "no_headers": F.lit("repack without catalog"),
+    }[mode]
+    return blocks.join(hit, ["grp", "block"], "left").withColumn("action", action).drop("hit")
+
+
+def move(archived: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (path, ...) added to an archive, those present winning, and then none of them left on disk."""
+    return join_archives([archived, present]), present.limit(0)
+
+
+def annotate(archives: DataFrame, comments: DataFrame) -> DataFrame:
+    """archives (archive, locked, comment) with new comments (archive, new_comment), but locked ones as they are."""
+    return archives.join(comments, "archive", "left").withColumn("comment", F.when(F.coalesce("locked", F.lit(False)), F.col("comment")).otherwise(F.coalesce("new_comment", "comment"))).drop("new_comment")
+
+
+def info(f: DataFrame, blocks: DataFrame, chain: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The report on archives: files (dir, size, block, keys) and blocks (keys, packed_size) under one chain.
+
+    Memory is that of the chain's methods, the dictionary the largest of their first parameters.
+    """
+    from stratafold.functions import scalars as S
+
+    by_file = f.groupBy(*keys).agg(
+        F.count_distinct("dir").alias("dirs"), F.count("*").alias("files"), F.sum("size").alias("size"),
+        F.max(F.col("archive_locked")).alias("locked"), F.max("archive_comment").alias("comment"), F.max("archive_recovery").alias("recovery"),
+    )
+    by_block = blocks.groupBy(*keys).agg(F.count("*").alias("solid_blocks"), F.sum("packed_size").alias("packed"))
+    both = by_file.join(by_block, list(keys)) if keys else by_file.crossJoin(F.broadcast(by_block))  # a row each
+    c = F.lit(chain)
+    largest = F.array_max(F.transform(S.methods(c), lambda m: F.coalesce(S.parse_mem(F.get(m["params"], F.lit(0))), F.lit(0).cast("long"))))
+    return both.select(
+        *keys, "dirs", "files", "size", "packed", F.round(F.col("packed") * 100 / F.col("size"), 2).alias("ratio"),
+        F.lit(1).cast("long").alias("directory_blocks"), "solid_blocks", F.floor(F.col("size") / F.col("solid_blocks")).alias("mean_block"),
+        S.compress_memory(c).alias("compress_memory"), S.chain_memory(c).alias("memory"), largest.alias("dictionary"), "locked", "recovery", "comment",
+        F.lit(0).cast("long").alias("sfx_size"), S.encrypted_by_substring(c).alias("headers_encrypted"), F.array_join(F.filter(F.transform(S.methods(c), lambda m: m["name"]), lambda n: n.rlike("^(" + "|".join(S.CIPHERS) + ")")), "+").alias("ciphers"),
+    )
+
+
+def technical(listed: DataFrame, blocks: DataFrame, chain: Column) -> DataFrame:
+    """The widest listing: of files with grp, block, dir and name."""
+    from stratafold.functions import scalars as S
+
+    both = listed.join(blocks.select("grp", "block", "n_files"), ["grp", "block"])
+    return full_path(both).select(
+        "path", extension(F.col("name")).alias("ext"), "size", "block", (F.col("n_files") > 1).alias("solid"), chain.alias("method"), S.is_encrypted(chain).alias("encrypted")
+    )
+
+
+def violations(blocks: DataFrame) -> DataFrame:
+    """(archive, pos, problem) of block descriptors (archive, type, pos, origsize, compsize) that cannot be right."""
+    problems = F.array_compact(F.array(
+        F.when(~F.col("type").between(0, 5), "unknown type"), F.when(F.col("origsize") <= 0, "nothing in it"),
+        F.when(F.col("compsize") <= 0, "no data"), F.when(F.col("compsize") > F.col("pos"), "begins before the archive"),
+    ))
+    return blocks.select("archive", "pos", F.explode(problems).alias("problem"))
 
 
 def listing_line(size: Column, packed: Column, name: Column) -> Column:

@@ -99,8 +99,12 @@ def datatype(entropy: DataFrame, normal: DataFrame, near: DataFrame, id_col: str
 
 
 def slot_histogram(df: DataFrame, value: str) -> DataFrame:
-    """(slot, n): signed values folded to 2x or -2x-1 and counted by the octets they need."""
+    """(slot, n, extra_bits): signed values folded to 2x or -2x-1 and counted by the octets they need.
+
+    Extra bits are those below a value's top octet, which a slot is followed by.
+    """
     v = F.col(value).cast("long")
     z = F.when(v >= 0, 2 * v).otherwise(-2 * v - 1)
     slot = F.when(z < 1 << 8, 0).when(z < 1 << 16, 1).when(z < 1 << 24, 2).otherwise(3)
-    return df.groupBy(slot.cast("long").alias("slot")).agg(F.count("*").alias("n"))
+    out = df.groupBy(slot.cast("long").alias("slot")).agg(F.count("*").alias("n"))
+    return out.withColumn("extra_bits", 8 * F.col("slot") * F.col("n"))

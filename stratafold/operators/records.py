@@ -330,3 +330,118 @@ def _predicted(data: bytes | bytearray, at: int, seen: dict[bytes, int]) -> int
     context = bytes(data[at - 4 : at])
     source, seen[context] = seen.get(context), at
     return source
+
+
+# --- tables of byte records ------------------------------------------------------------------
+
+# fixed values of the search for tables
+WIDEST, LINE, REPEATS, SHORT_RUN = 30, 32, 5, 4
+LEAST_WORTH, SKIP_WORTH = 30, 4
+
+
+def _bits(v: np.ndarray) -> np.ndarray:
+    """Places of the highest one bit of 1 + |v|."""
+    return np.log2(1 + np.abs(v)).astype(np.int64)
+
+
+def monotone_runs(v: np.ndarray) -> np.ndarray:
+    """Steps between successive values by the run they belong to, from 0: a run goes on in one direction or stands still."""
+    sign = np.sign(np.diff(v.astype(np.int64)))
+    at = np.where(sign != 0, np.arange(len(sign)), -1)
+    last = np.maximum.accumulate(at) if len(at) else at
+    direction = np.where(last >= 0, sign[last], 0)
+    turn = np.zeros(len(sign), bool)
+    turn[1:] = (direction[1:] != direction[:-1]) & (direction[:-1] != 0)
+    return np.cumsum(turn)
+
+
+def table_rows(v: np.ndarray) -> tuple[int, int]:
+    """(rows, useful ones) of the table that the values begin: it ends where two runs in a row are short.
+
+    A row is useful where the step is written in fewer bits than the value, whose tenth bit and above count one less.
+    """
+    if len(v) < 2:
+        return 0, 0
+    run = monotone_runs(v)
+    short = np.bincount(run) < SHORT_RUN
+    bad = np.flatnonzero(short[1:] & short[:-1])
+    rows = int(np.searchsorted(run, bad[0])) if len(bad) else len(run)
+    step, value = _bits(np.diff(v.astype(np.int64)))[:rows], _bits(v[1 : rows + 1])
+    value = value - (value > 10)
+    return rows, int((step < value).sum())
+
+
+def find_tables(data: bytes) -> list[tuple[int, int, int]]:
+    """(start, width, rows) of tables of records of 2 to 30 octets, which do not overlap.
+
+    A line of octets proposes the distances at which more than ``REPEATS`` high halves of an octet
+    come again; from each of that many places the table's length is measured both ways. It counts
+    if its useful rows are worth the octets skipped before it.
+    """
+    a = np.frombuffer(data, np.uint8)
+    out: list[tuple[int, int, int]] = []
+    if len(a) < 4 * WIDEST:
+        return out
+    order = np.argsort(a >> 4, kind="stable")
+    back = np.full(len(a), 1 << 30)
+    same = (a[order][1:] >> 4) == (a[order][:-1] >> 4)
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    pairs = a[:-1].astype(np.int64) | (a[1:].astype(np.int64) << 8)
+    done = at = 0
+    while at + LINE + 4 * WIDEST < len(a):
+        far = back[at : at + LINE]
+        counts = np.bincount(far[far <= WIDEST], minlength=WIDEST + 1)
+        best = None
+        for width in np.flatnonzero(counts > REPEATS):
+            if width < 2:
+                continue
+            for start in range(at, at + int(width)):
+                before, _ = table_rows(pairs[done : start + 1][::-1][::width])
+                first = start - before * int(width)
+                rows, useful = table_rows(pairs[first::width])
+                if useful * width**0.5 > LEAST_WORTH + SKIP_WORTH * np.log2(max(first - done, 1)) and (best is None or useful * width > best[0]):
+                    best = (useful * width, first, int(width), rows)
+        if best is None:
+            at += LINE
+        else:
+            _, first, width, rows = best
+            rows = min(rows, (len(a) - first) // width)
+            out.append((first, width, rows))
+            done = first + rows * width
+            at = max(at + LINE, done)
+    return out
+
+
+def tables_encode(data: bytes) -> bytes:
+    """Tables as differences with their still columns in front, after a list of (skip, width, rows, columns to diff)."""
+    found, head, body, done = find_tables(data), bytearray(), bytearray(), 0
+    for start, width, rows in found:
+        roles, packed = table_encode(data[start : start + rows * width], width)
+        mask = sum(1 << i for i, r in enumerate(roles) if r)
+        head += (start - done).to_bytes(4, "little") + bytes([width]) + rows.to_bytes(4, "little") + mask.to_bytes(4, "little")
+        body += data[done:start] + packed
+        done = start + rows * width
+    return len(found).to_bytes(4, "little") + bytes(head) + bytes(body) + data[done:]
+
+
+def tables_decode(data: bytes) -> bytes:
+    n = int.from_bytes(data[:4], "little")
+    at, out = 4 + 13 * n, bytearray()
+    for i in range(n):
+        h = data[4 + 13 * i : 17 + 13 * i]
+        skip, width, rows, mask = int.from_bytes(h[:4], "little"), h[4], int.from_bytes(h[5:9], "little"), int.from_bytes(h[9:], "little")
+        out += data[at : at + skip]
+        at += skip
+        out += table_decode([bool(mask >> k & 1) for k in range(width)], data[at : at + rows * width], width)
+        at += rows * width
+    return bytes(out + data[at:])
+
+
+def rec_encode(data: bytes) -> bytes:
+    """The record filter as a codec: its kind, then the planes."""
+    kind = record_kind(data)
+    return bytes([kind]) + to_planes(data, kind)
+
+
+def rec_decode(data: bytes) -> bytes:
+    return from_planes(data[1:], data[0]) if data else b""

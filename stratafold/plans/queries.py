@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.functions import scalars as S
+from stratafold.functions.running import running_before
 from stratafold.functions import script as L
+from stratafold.functions.arrow import append
 from stratafold.operators import archive as A
 from stratafold.operators import codecs as C
 from stratafold.operators import dictionary as D
@@ -36,6 +40,14 @@ def _day():
     return F.col("ts").cast("date")
 
 
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"]
+
+
+def _line_range():
+    """Ranges of the lines' order, by which a hot supplier is split."""
+    return F.floor(F.col("l_orderkey") / 65536)
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name."""
 
@@ -110,9 +122,7 @@ def latest_time(spark, d):
 @query(f"WITH {_B} SELECT grp, block, min(file_id) AS first_file, max(file_id) AS last_file, CAST(sum(count(*)) OVER (PARTITION BY grp ORDER BY block ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM b GROUP BY grp, block")
 def block_bounds(spark, d):
     """A block's files and the running number of files: block b owns [previous, upto)."""
-    k = _blocks(spark, d).groupBy("grp", "block").agg(F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"), F.count("*").alias("n"))
-    w = Window.partitionBy("grp").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    return k.select("grp", "block", "first_file", "last_file", F.sum("n").over(w).alias("upto"))
+    return A.block_bounds(_blocks(spark, d)).select("grp", "block", "first_file", "last_file", "upto")
 
 
 @query(f"WITH {_F} SELECT file_id, d.dir_id, f.dir FROM f JOIN (SELECT dir, CAST(row_number() OVER (ORDER BY dir) AS BIGINT) AS dir_id FROM (SELECT DISTINCT dir FROM f)) d USING (dir)")
@@ -120,8 +130,9 @@ def dir_lookup(spark, d):
     """Files with the number of their directory in the dictionary of directories."""
     f = _files(spark, d)
     dirs = f.select("dir").distinct()
-    numbered = dirs.withColumn("dir_id", F.row_number().over(Window.orderBy("dir")).cast("long"))
-    return f.join(numbered, "dir").select("file_id", "dir_id", "dir")
+    # ranges of the dictionary by its first letters
+    numbered = running_before(dirs, F.lit(1).cast("long"), [], ["dir"], F.substring("dir", 1, 4), "dir_id")
+    return f.join(numbered, "dir").select("file_id", (F.col("dir_id") + 1).alias("dir_id"), "dir")
 
 
 @query(f"WITH {_F} SELECT CAST(count(*) FILTER (WHERE size = 0) AS BIGINT) AS empty, CAST(count(*) FILTER (WHERE size > 0) AS BIGINT) AS stored FROM f")
@@ -299,10 +310,10 @@ def solid_by_ext(spark, d):
     return p.groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
 
 
-_GROUPS = ["; comment", "$html", "*.html", "*/??/*[0-9]", "$ref", "*ref=x*", "$anchor", "*#*", "$default"]
+_GROUPS = ["; comment", "$html", "*.html", "*/e?/*", "$ref", "*ref=x*", "$anchor", "*#*", "$default"]
 
 
-@query("SELECT page_id, CASE WHEN lower(url) GLOB '*.html' THEN '$html' WHEN contains(lower(url), 'ref=x') THEN '$ref' WHEN contains(url, '#') THEN '$anchor' ELSE '$default' END AS type FROM pages")
+@query("SELECT page_id, CASE WHEN lower(url) GLOB '*.html' OR lower(url) GLOB '*/e?/*' THEN '$html' WHEN contains(lower(url), 'ref=x') THEN '$ref' WHEN contains(url, '#') THEN '$anchor' ELSE '$default' END AS type FROM pages")
 def group_assign(spark, d):
     return A.first_matching_mask(K.load(spark, d, "pages"), X.parse_group_lines(_GROUPS), "url").select("page_id", "type")
 
@@ -338,10 +349,10 @@ def datatype_detect(spark, d):
     return P.datatype(P.order0(h), P.normal_chars(h), P.near_matches(docs))
 
 
-@query("WITH v AS (SELECT CAST(l_orderkey AS BIGINT) - coalesce(lag(CAST(l_orderkey AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate), 0) AS x FROM lineitem), z AS (SELECT CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS z FROM v) SELECT CAST(CASE WHEN z < 256 THEN 0 WHEN z < 65536 THEN 1 WHEN z < 16777216 THEN 2 ELSE 3 END AS BIGINT) AS slot, CAST(count(*) AS BIGINT) AS n FROM z GROUP BY 1")
+@query("WITH v AS (SELECT CAST(l_orderkey AS BIGINT) - coalesce(lag(CAST(l_orderkey AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate), 0) AS x FROM lineitem), z AS (SELECT CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS z FROM v) SELECT CAST(CASE WHEN z < 256 THEN 0 WHEN z < 65536 THEN 1 WHEN z < 16777216 THEN 2 ELSE 3 END AS BIGINT) AS slot, CAST(count(*) AS BIGINT) AS n, CAST(8 * slot * count(*) AS BIGINT) AS extra_bits FROM z GROUP BY 1")
 def slot_histogram(spark, d):
     li = K.load(spark, d, "lineitem").withColumn("v", F.col("l_orderkey").cast("long"))
-    return P.slot_histogram(T.diff(li, "v", ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"]), "diff")
+    return P.slot_histogram(T.diff(li, "v", ["l_suppkey"], _LINE_ORDER, within=_line_range()), "diff")
 
 
 @query("""WITH a AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, embedding FROM embeddings),
@@ -388,7 +399,7 @@ def undelta_events(spark, d):
 
 @query("WITH x AS (SELECT lag(l_linenumber) OVER w <> l_linenumber AS a, lag(l_returnflag) OVER w <> l_returnflag AS b, lag(l_linestatus) OVER w <> l_linestatus AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate)), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE c) AS c FROM x) SELECT v.name AS \"column\", CAST(v.k AS BIGINT) AS changes, CAST(n AS BIGINT) AS rows, v.k * 4 < n AS immutable FROM s, LATERAL (VALUES ('l_linenumber', s.a), ('l_returnflag', s.b), ('l_linestatus', s.c)) v(name, k)")
 def column_immutable(spark, d):
-    return T.immutable_columns(K.load(spark, d, "lineitem"), ["l_linenumber", "l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"], ["l_suppkey"])
+    return T.immutable_columns(K.load(spark, d, "lineitem"), ["l_linenumber", "l_returnflag", "l_linestatus"], _LINE_ORDER, ["l_suppkey"], within=_line_range())
 
 
 @query("SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round(CAST(embedding[i] AS DOUBLE) - CASE WHEN i > 1 THEN CAST(embedding[i - 1] AS DOUBLE) ELSE 0 END, 6) AS diff FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)")
@@ -397,17 +408,16 @@ def embedding_diff(spark, d):
     return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round("diff", 6).alias("diff"))
 
 
-@query("SELECT item_id, upper(string_agg(h[2 * i + 1 : 2 * i + 2], '' ORDER BY i % 4, i)) AS planes FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM benchmark) GROUP BY item_id")
+@query("SELECT item_id, coalesce(planes, '') AS planes FROM benchmark LEFT JOIN (SELECT item_id, upper(string_agg(h[2 * i + 1 : 2 * i + 2], '' ORDER BY i % 4, i)) AS planes FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM benchmark) GROUP BY item_id) USING (item_id)")
 def byte_transpose(spark, d):
     """The octets of a text by their place modulo 4."""
-    h = F.hex(F.encode("text", "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 2).cast("int") - 1), lambda i: F.substr(h, 2 * i + 1, F.lit(2)))
+    octets = F.regexp_extract_all(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))
 
     def plane(k: int):
         return F.array_join(F.filter(octets, lambda x, i: i % 4 == k), "")
 
     planes = F.concat(*[plane(k) for k in range(4)])
-    return K.load(spark, d, "benchmark").where("text <> ''").select("item_id", planes.alias("planes"))
+    return K.load(spark, d, "benchmark").select("item_id", planes.alias("planes"))
 
 
 @query("SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 50 ORDER BY n DESC, word LIMIT 250")
@@ -427,16 +437,19 @@ def dict_encode_size(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CAST(((l_partkey - coalesce(lag(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate), 0)) % 65536 + 65536) % 65536 AS BIGINT) AS diff FROM lineitem")
 def wrapped_diff16(spark, d):
-    x = T.wrapped_diff(K.load(spark, d, "lineitem"), "l_partkey", ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"], 16)
+    x = T.wrapped_diff(K.load(spark, d, "lineitem"), "l_partkey", ["l_suppkey"], _LINE_ORDER, 16, within=_line_range())
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "diff")
 
 
-@query("SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(pos - lag(pos) OVER (PARTITION BY doc_id, c ORDER BY pos) AS BIGINT) AS distance FROM (SELECT item_id AS doc_id, text[i] AS c, i AS pos FROM (SELECT item_id, text, unnest(generate_series(1, length(text))) AS i FROM benchmark))")
+@query("""WITH o AS (SELECT item_id AS doc_id, i AS pos, CAST(('0x' || h[2 * i - 1 : 2 * i]) AS BIGINT) >> 4 AS k FROM (SELECT item_id, h, unnest(generate_series(1, length(h) // 2)) AS i FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark))),
+g AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(pos - lag(pos) OVER (PARTITION BY doc_id, k ORDER BY pos) AS BIGINT) AS far FROM o)
+SELECT doc_id, pos, CASE WHEN far <= 30 THEN far END AS distance FROM g""")
 def repeat_distance(spark, d):
-    """How far back each character of an item last stood."""
-    b = K.load(spark, d, "benchmark").where("text <> ''").select(F.col("item_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("p", "c"))
-    w = Window.partitionBy("doc_id", "c").orderBy("p")
-    return b.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), (F.col("p") - F.lag("p").over(w)).cast("long").alias("distance"))
+    """How far back, up to 30 octets, an octet of the same high half last stood."""
+    octets = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))
+    b = K.load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(octets).alias("p", "o"))
+    far = F.col("p") - F.lag("p").over(Window.partitionBy("doc_id", F.substring("o", 1, 1)).orderBy("p"))
+    return b.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), far.cast("long").alias("far")).select("doc_id", "pos", F.when(F.col("far") <= 30, F.col("far")).alias("distance"))
 
 
 # --- scalars ---------------------------------------------------------------------------------
@@ -462,20 +475,15 @@ def method_parse(spark, d):
     return m.select("chain", F.col("k").cast("long").alias("k"), "m.name", F.size("m.params").cast("long").alias("params"))
 
 
-_METHODS = (("lzma", 64, 20), ("rep", 96, 18), ("lzp", 8, 18), ("ppmd", 48, 0), ("storing", 0, 0))
-_METHOD_SQL = "(VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in _METHODS) + ") AS v(name, mb, hash_bits)"
-
-
-@query(f"SELECT name, CAST(CASE name WHEN 'lzma' THEN m * 9 + 1048576 WHEN 'rep' THEN m + 4 * pow(2, hash_bits) WHEN 'lzp' THEN 2 * m + 8 * pow(2, hash_bits) WHEN 'ppmd' THEN m ELSE 0 END AS BIGINT) AS encode, CAST(CASE name WHEN 'lzma' THEN m + 1048576 WHEN 'rep' THEN m WHEN 'lzp' THEN 2 * m + 8 * pow(2, hash_bits) WHEN 'ppmd' THEN m ELSE 0 END AS BIGINT) AS decode, CAST(least(m, 33554432) AS BIGINT) AS limited FROM (SELECT name, CAST(mb AS BIGINT) * 1048576 AS m, hash_bits FROM {_METHOD_SQL})")
+@query("""WITH t AS (SELECT p_partkey, ['lzma', 'rep', 'lzp', 'ppmd', 'storing'][1 + p_partkey % 5] AS name, CAST(p_size AS BIGINT) * 1048576 AS m, 10 + p_size % 10 AS hash_bits FROM part)
+SELECT p_partkey, name, CAST(CASE name WHEN 'lzma' THEN m * 9 + 1048576 WHEN 'rep' THEN m + 4 * pow(2, hash_bits) WHEN 'lzp' THEN 2 * m + 8 * pow(2, hash_bits) WHEN 'ppmd' THEN m ELSE 0 END AS BIGINT) AS encode,
+  CAST(CASE name WHEN 'lzma' THEN m + 1048576 WHEN 'rep' THEN m WHEN 'lzp' THEN 2 * m + 8 * pow(2, hash_bits) WHEN 'ppmd' THEN m ELSE 0 END AS BIGINT) AS decode, CAST(least(m, 33554432) AS BIGINT) AS limited FROM t""")
 def codec_memory(spark, d):
     """Memory of methods, and their dictionary when limited to 32 MB."""
-    t = spark.createDataFrame(list(_METHODS), "name string, mb long, hash_bits long").withColumn("m", F.col("mb") * 1048576)
-    table = F.pow(F.lit(2.0), "hash_bits").cast("long")
-    name = F.col("name")
-    lzp = 2 * F.col("m") + 8 * table
-    enc = F.when(name == "lzma", F.col("m") * 9 + 1048576).when(name == "rep", F.col("m") + 4 * table).when(name == "lzp", lzp).when(name == "ppmd", F.col("m")).otherwise(F.lit(0).cast("long"))
-    dec = F.when(name == "lzma", F.col("m") + 1048576).when(name == "lzp", lzp).when(name.isin("rep", "ppmd"), F.col("m")).otherwise(F.lit(0).cast("long"))
-    return t.select("name", enc.alias("encode"), dec.alias("decode"), F.least("m", F.lit(33554432).cast("long")).alias("limited"))
+    name = F.element_at(F.array(*map(F.lit, ("lzma", "rep", "lzp", "ppmd", "storing"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    t = K.load(spark, d, "part").select("p_partkey", name.alias("name"), (F.col("p_size").cast("long") * 1048576).alias("m"), (10 + F.col("p_size") % 10).alias("bits"))
+    encode, decode = S.method_memory(F.col("name"), F.col("m"), F.col("bits"))
+    return t.select("p_partkey", "name", encode.alias("encode"), decode.alias("decode"), F.least("m", F.lit(33554432).cast("long")).alias("limited"))
 
 
 _MACROS = {"#x": "rep:#mb+ccm", "ccm": "lzma:#", "best": "dict+5x", "b#": "grzip:#"}
@@ -512,12 +520,25 @@ def format_time(spark, d):
 # --- integrity -------------------------------------------------------------------------------
 
 
-@query()
+#: CRC-32 of the list of octets x: a table of 256 values, then one look-up an octet.
+_CRC_TABLE = "[list_reduce([CAST(v AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) for v in range(256)]"
+
+
+def _crc_sql(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295)"
+
+
+_OCTETS = "list_transform(range(octet_length(encode({0}))), lambda i: CAST(('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2]) AS BIGINT))"
+
+
+@query(f"""WITH c AS MATERIALIZED (SELECT {_CRC_TABLE} AS t), d AS (SELECT doc_id AS file_id, coalesce(text, '') AS x FROM documents WHERE doc_id % 100 = 7)
+SELECT file_id, CAST({_crc_sql(_OCTETS.format("x"))} AS BIGINT) AS crc, CAST({_crc_sql(_OCTETS.format("(x || '!')"))} AS BIGINT) AS now FROM d, c""")
 def integrity_test(spark, d):
     """Files whose content no longer has its CRC: here every 100th was altered."""
-    f = _files(spark, d).join(K.load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text"), "file_id")
-    read = F.when(F.col("file_id") % 100 == 7, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.coalesce("text", F.lit("")))
-    return f.withColumn("now", F.crc32(read.cast("binary"))).where("now <> crc").select("file_id", "crc", "now")
+    f = K.load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("x"))
+    read = F.when(F.col("file_id") % 100 == 7, F.concat("x", F.lit("!"))).otherwise(F.col("x"))
+    f = f.select("file_id", F.crc32(F.col("x").cast("binary")).alias("crc"), F.crc32(read.cast("binary")).alias("now"))
+    return f.where("now <> crc")
 
 
 @query("SELECT o_orderstatus, bit_xor(o_orderkey) AS parity, CAST(count(*) AS BIGINT) AS members FROM orders GROUP BY 1")
@@ -540,13 +561,13 @@ def hash_digests(spark, d):
     return K.load(spark, d, "documents").select("doc_id", F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"), F.md5(t).alias("md5"))
 
 
-@query("SELECT item_id, true AS same FROM benchmark")
+@query("SELECT item_id, md5(text) AS md5, CAST(octet_length(encode(text)) + 28 AS BIGINT) AS sealed FROM benchmark")
 def encrypt_roundtrip(spark, d):
-    """Texts through AES-GCM and back."""
+    """Texts through AES-GCM and back; sealed, they are longer by a nonce and a tag."""
     key = F.lit(b"0123456789abcdef0123456789abcdef")
-    b = K.load(spark, d, "benchmark")
-    back = F.aes_decrypt(F.aes_encrypt("text", key, F.lit("GCM")), key, F.lit("GCM")).cast("string")
-    return b.select("item_id", (back == F.col("text")).alias("same"))
+    b = K.load(spark, d, "benchmark").withColumn("sealed", F.aes_encrypt("text", key, F.lit("GCM")))
+    back = F.aes_decrypt("sealed", key, F.lit("GCM"))
+    return b.select("item_id", F.md5(back).alias("md5"), F.octet_length("sealed").cast("long").alias("sealed"))
 
 
 # --- codecs ----------------------------------------------------------------------------------
@@ -554,28 +575,91 @@ def encrypt_roundtrip(spark, d):
 
 @query()
 def codec_ratio(spark, d):
-    docs = K.load(spark, d, "documents")
-    parts = [C.encode(docs, "doc_id", "text", c).withColumn("chain", F.lit(c)) for c in ("storing", "tor", "delta+tor", "grzip")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("chain").agg(F.sum("orig_size").alias("orig_size"), F.sum("comp_size").alias("comp_size"))
+    """One scan: each text goes through all chains in its task."""
+    docs = K.load(spark, d, "documents").select(F.col("text").cast("binary").alias("x"))
+    chains = ("storing", "tor", "delta+tor", "grzip")
+
+    def sizes(x):
+        out = [len(x or b"")]
+        for c in chains:
+            y = x or b""
+            for m in c.split("+"):
+                y = C.CODECS[m].encode(y)
+            out.append(min(len(y), out[0]))
+        return tuple(out)
+
+    names = ["orig", *(f"c{i}" for i in range(len(chains)))]
+    total = append(docs, ["x"], [(n, "long") for n in names], sizes).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(c).alias("chain"), F.col("orig").alias("orig_size"), F.col(f"c{i}").alias("comp_size")) for i, c in enumerate(chains)])
+    return total.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _round_trip(df: DataFrame, data: str, chain: str) -> DataFrame:
+    """df with what the chain makes of its data, in place of them: ``data`` anew, ``packed`` octets and ``changed``."""
+    codecs = [C.CODECS[m.split(":")[0]] for m in chain.split("+")]
 
+    def there_and_back(x):
+        y = x = x or b""
+        for c in codecs:
+            y = c.encode(y)
+        n, changed = len(y), y != x
+        for c in reversed(codecs):
+            y = c.decode(y)
+        return y, n, changed
 
-@query("SELECT doc_id, true AS same FROM documents")
+    return append(df.withColumn(data, F.col(data).cast("binary")), [data], [("back", "binary"), ("packed", "long"), ("changed", "boolean")], there_and_back)
+
+
+_TRIP_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS md5, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS octets, true AS changed FROM documents"
+
+
+@query(_TRIP_SQL)
 def chain_roundtrip(spark, d):
-    docs = K.load(spark, d, "documents")
-    packed = C.encode(docs, "doc_id", "text", "delta+lzma")
-    return packed.select("doc_id", F.col("crc").alias("was")).join(C.decode(packed, "doc_id"), "doc_id").select("doc_id", (F.col("was") == F.col("crc")).alias("same"))
+    """Every whole text through a chain, which alters it, and back."""
+    x = _round_trip(K.load(spark, d, "documents").select("doc_id", "text"), "text", "delta+lzma")
+    return x.select("doc_id", F.md5("back").alias("md5"), F.octet_length("back").cast("long").alias("octets"), "changed")
 
 
-@query("SELECT doc_id, md5(coalesce(text, '')) AS md5, true AS same FROM documents")
+@query(_TRIP_SQL)
 def rep_roundtrip(spark, d):
     """Every whole text through the coder of long repeats and back."""
-    docs = K.load(spark, d, "documents")
-    back = C.decode(C.encode(docs, "doc_id", "text", "rep+grzip"), "doc_id").select("doc_id", F.md5("data").alias("md5"))
-    both = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("was")).join(back, "doc_id")
-    return both.select("doc_id", "md5", (F.col("was") == F.col("md5")).alias("same"))
+    x = _round_trip(K.load(spark, d, "documents").select("doc_id", "text"), "text", "rep+grzip")
+    return x.select("doc_id", F.md5("back").alias("md5"), F.octet_length("back").cast("long").alias("octets"), "changed")
+
+
+#: The nine chains of a stress test, each packing files by themselves and in solid blocks.
+STRESS = ("storing", "delta", "lzp", "rep", "tor", "grzip", "lzma", "exe", "delta+tor")
+
+
+@query(f"WITH {_B}, c AS (SELECT unnest([{', '.join(repr(c) for c in STRESS)}]) AS chain) SELECT chain, solid, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS octets, CAST(0 AS BIGINT) AS damaged, CAST(CASE WHEN solid THEN count(DISTINCT (grp, block)) ELSE count(*) END AS BIGINT) AS streams FROM b, c, (VALUES (true), (false)) v(solid) GROUP BY chain, solid")
+def codec_stress(spark, d):
+    """Nine chains over all files, solid or not: every file is cut from its unpacked stream and its CRC tested."""
+    files = _blocks(spark, d).join(K.load(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data")), "file_id")
+    one = F.struct("file_id", "crc", "data")
+    # a solid block is bounded by its octets
+    solid = files.groupBy("grp", "block").agg(F.sort_array(F.collect_list(one)).alias("files")).select(F.lit(True).alias("solid"), "files")
+    streams = solid.union(files.select(F.lit(False), F.array(one)))
+
+    def test(members):
+        x = b"".join(m["data"] for m in members)
+        bad = []
+        for chain in STRESS:
+            y = x
+            for m in chain.split("+"):
+                y = C.CODECS[m].encode(y)
+            for m in reversed(chain.split("+")):
+                y = C.CODECS[m].decode(y)
+            at = n = 0
+            for m in members:
+                n += zlib.crc32(y[at : at + len(m["data"])]) != m["crc"]
+                at += len(m["data"])
+            bad.append(n + (at != len(y)))
+        return bad, len(members), len(x)
+
+    done = append(streams, ["files"], [("bad", "array<long>"), ("n", "long"), ("octets", "long")], test)
+    each = done.select("solid", "n", "octets", F.posexplode("bad").alias("i", "damaged"))
+    out = each.groupBy("solid", "i").agg(F.sum("n").alias("files"), F.sum("octets").alias("octets"), F.sum("damaged").alias("damaged"), F.count("*").alias("streams"))
+    return out.select(F.element_at(F.array(*map(F.lit, STRESS)), F.col("i") + 1).alias("chain"), "solid", "files", "octets", "damaged", "streams")
 
 
 # --- byte records ----------------------------------------------------------------------------
@@ -614,15 +698,15 @@ def table_diff(spark, d):
 _TURNS = "t AS (SELECT item_id, i, h, n, (h || h)[2 * i + 1 : 2 * i + 2 * n] AS turn FROM (SELECT item_id, h, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS i FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)))"
 
 
-@query(f"WITH {_TURNS} SELECT item_id, upper(string_agg(turn[-2:], '' ORDER BY turn, i)) AS sorted FROM t GROUP BY item_id")
+@query(f"WITH {_TURNS} SELECT item_id, coalesce(sorted, '') AS sorted FROM benchmark LEFT JOIN (SELECT item_id, upper(string_agg(turn[-2:], '' ORDER BY turn, i)) AS sorted FROM t GROUP BY item_id) USING (item_id)")
 def bwt_items(spark, d):
-    x = R.over(K.load(spark, d, "benchmark").where("text <> ''"), "item_id", "text", R.sorted_by_context, "sorted", "binary")
+    x = R.over(K.load(spark, d, "benchmark"), "item_id", "text", R.sorted_by_context, "sorted", "binary")
     return x.select("item_id", F.hex("sorted").alias("sorted"))
 
 
-@query(f"WITH {_TURNS} SELECT item_id, upper(string_agg(turn[-2:], '' ORDER BY turn[1:8], i)) AS sorted FROM t GROUP BY item_id")
+@query(f"WITH {_TURNS} SELECT item_id, coalesce(sorted, '') AS sorted FROM benchmark LEFT JOIN (SELECT item_id, upper(string_agg(turn[-2:], '' ORDER BY turn[1:8], i)) AS sorted FROM t GROUP BY item_id) USING (item_id)")
 def context4_items(spark, d):
-    x = R.over(K.load(spark, d, "benchmark").where("text <> ''"), "item_id", "text", lambda b: R.sorted_by_context(b, 4), "sorted", "binary")
+    x = R.over(K.load(spark, d, "benchmark"), "item_id", "text", lambda b: R.sorted_by_context(b, 4), "sorted", "binary")
     return x.select("item_id", F.hex("sorted").alias("sorted"))
 
 
@@ -681,24 +765,23 @@ def mm_detect(spark, d):
 @query("SELECT doc_id, md5(coalesce(text, '')) AS md5, true AS smaller FROM documents")
 def dict_roundtrip(spark, d):
     """Every whole text through a dictionary of 250 words and back."""
-    docs = K.load(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
-    known = D.learn(docs, 250, 50)
-    x = docs.select("doc_id", "t", D.encode(F.col("t"), known).alias("e"))
-    back = F.md5(D.decode(F.col("e"), known).cast("binary"))
-    return x.select("doc_id", back.alias("md5"), (F.length("e") <= F.length("t")).alias("smaller"))
+    docs = K.load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    known = D.learn(docs, 250, 50, "t")
+    x = D.decode_column(D.encode_column(docs, "t", known, "e"), "e", known, "back")
+    return x.select("doc_id", F.md5(F.col("back").cast("binary")).alias("md5"), (F.length("e") <= F.length("t")).alias("smaller"))
 
 
-@query("SELECT item_id, true AS right_password, true AS wrong_fails FROM benchmark")
+@query("SELECT item_id, md5(text) AS md5, CAST(octet_length(encode(text)) + 28 AS BIGINT) AS sealed, true AS wrong_fails FROM benchmark")
 def password_roundtrip(spark, d):
     """Texts under keys from a password, opened with it and with another."""
     b = K.load(spark, d, "benchmark").withColumn("salt", F.sha2(F.col("item_id").cast("string"), 256))
     key, other = E.derive_keys(b, "item_id", "salt", "open"), E.derive_keys(b, "item_id", "salt", "shut").withColumnRenamed("key", "other")
     x = b.join(key, "item_id").join(other, "item_id").withColumn("sealed", E.seal(F.col("text"), F.col("key")))
-    return x.select("item_id", (E.unseal(F.col("sealed"), F.col("key")).cast("string") == F.col("text")).alias("right_password"), E.unseal(F.col("sealed"), F.col("other")).isNull().alias("wrong_fails"))
+    return x.select("item_id", F.md5(E.unseal(F.col("sealed"), F.col("key"))).alias("md5"), F.octet_length("sealed").cast("long").alias("sealed"), E.unseal(F.col("sealed"), F.col("other")).isNull().alias("wrong_fails"))
 
 
-@query("SELECT page_id, md5(coalesce(html, '')) AS md5 FROM pages")
+@query("SELECT page_id, md5(coalesce(html, '')) AS md5, CAST(greatest(1, ceil(octet_length(encode(coalesce(html, ''))) / 4096)) AS BIGINT) AS blocks FROM pages")
 def block_parallel_roundtrip(spark, d):
     """Every whole page in blocks of 4 kB, each packed by itself, and together again."""
     packed = C.encode_blocks(K.load(spark, d, "pages"), "page_id", "html", "lzp+tor", 4096)
-    return C.decode_blocks(packed, "page_id").select("page_id", F.md5("data").alias("md5"))
+    return C.decode_blocks(packed, "page_id").select("page_id", F.md5("data").alias("md5"), "blocks")

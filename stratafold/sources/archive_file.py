@@ -21,8 +21,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from stratafold.operators.codecs import CODECS
 
@@ -196,29 +199,33 @@ def _contents(f: io.BufferedIOBase, blocks: list[Block], files: list[tuple]) ->
 
 
 def rows(path: str, table: str, strict: bool) -> Iterator[tuple]:
+    with open(path, "rb") as f:
+        yield from rows_of(f, path, table, strict)
+
+
+def rows_of(f: io.BufferedIOBase, path: str, table: str, strict: bool) -> Iterator[tuple]:
     try:
-        with open(path, "rb") as f:
-            s = read_structure(f)
-            if table == "archives":
-                yield path, s.locked, s.comment, s.recovery, s.sfx_size, len(s.control), None
-            elif table == "blocks":
-                for c in s.control:
-                    yield path, c.type, c.compressor, c.pos, c.origsize, c.compsize, c.crc, None
-            seen = blocks_before = 0
-            for c in s.control if table != "archives" else ():
-                if c.type != DIRECTORY:
-                    continue
-                blocks, files = read_directory(f, c)
-                if table == "blocks":
-                    for b in blocks:
-                        yield path, b.type, b.compressor, b.pos, None, b.compsize, None, b.n_files
-                elif table == "files":
-                    for i, (folder, name, size, t, isdir, crc, k) in enumerate(files):
-                        yield path, seen + i, folder, name, size, datetime.fromtimestamp(t, UTC), isdir, crc, blocks_before + k, blocks[k].compressor
-                else:
-                    for i, (x, data) in enumerate(_contents(f, blocks, files)):
-                        yield path, seen + i, x[0], x[1], x[2], x[5], zlib.crc32(data) == x[5], data
-                seen, blocks_before = seen + len(files), blocks_before + len(blocks)
+        s = read_structure(f)
+        if table == "archives":
+            yield path, s.locked, s.comment, s.recovery, s.sfx_size, len(s.control), None
+        elif table == "blocks":
+            for c in s.control:
+                yield path, c.type, c.compressor, c.pos, c.origsize, c.compsize, c.crc, None
+        seen = blocks_before = 0
+        for c in s.control if table != "archives" else ():
+            if c.type != DIRECTORY:
+                continue
+            blocks, files = read_directory(f, c)
+            if table == "blocks":
+                for b in blocks:
+                    yield path, b.type, b.compressor, b.pos, None, b.compsize, None, b.n_files
+            elif table == "files":
+                for i, (folder, name, size, t, isdir, crc, k) in enumerate(files):
+                    yield path, seen + i, folder, name, size, datetime.fromtimestamp(t, UTC), isdir, crc, blocks_before + k, blocks[k].compressor
+            else:
+                for i, (x, data) in enumerate(_contents(f, blocks, files)):
+                    yield path, seen + i, x[0], x[1], x[2], x[5], zlib.crc32(data) == x[5], data
+            seen, blocks_before = seen + len(files), blocks_before + len(blocks)
     except Damaged as e:
         if strict:
             raise ValueError(f"{path}: {e.args[0]}") from e
@@ -226,6 +233,30 @@ def rows(path: str, table: str, strict: bool) -> Iterator[tuple]:
             yield path, None, None, None, None, None, e.args[0]
 
 
+def from_store(spark: SparkSession, path: str, table: str = "files", strict: bool = True) -> DataFrame:
+    """The same tables of archives in any store that Spark reads: each is read whole, up to two gigabytes.
+
+    The masks of ``path`` are Spark's; folders are searched with all below them.
+    """
+    schema = StructType.fromDDL(SCHEMAS[table])
+    names = schema.fieldNames()
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = []
+                for row in rows_of(io.BytesIO(content.as_buffer()), name, table, strict):
+                    held.append(row)
+                    if len(held) == 1000 or table == "contents":
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema=kinds)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema=kinds)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, schema)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, paths: Sequence[str], table: str, strict: bool) -> None:
         self.paths, self.table, self.strict = paths, table, strict
