@@ -20,7 +20,9 @@ Defined results: a null text is an empty one and a null role an empty one; a nul
 first, and rows of equal turn are ordered by role and text, so a repeated row is a repeated
 turn; a null conversation id is a conversation of its own; roles that the template does not
 name are formatted under their own name, without loss, and make the order invalid; an empty
-table gives no conversations; other columns are not read.
+table gives no conversations; other columns are not read. A conversation's text is one value of the
+output, so one task holds its turns: its limit is Spark's two gigabytes for a value, and no
+conversation shares a task's memory with another but its neighbours in the sort.
 """
 
 from __future__ import annotations

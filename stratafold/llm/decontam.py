@@ -9,7 +9,10 @@ word as text, with the items' windows. Items shorter than a window are looked up
 
 All steps are DataFrame expressions. Each document is read once for its fingerprints, which
 carry the few words around them, so no text is shuffled; what leaves the scan is the hits. The
-items' fingerprints are broadcast while they are few (checked), else joined by a shuffle.
+items' fingerprints are broadcast while they are small (their bytes are summed first), else joined
+by a shuffle in which every window of the items is copied to ``SALTS`` places and the documents'
+are dealt over them, so that a passage in a third of all documents is no one task's. A window that
+many items share is carried through the hits as the number of its set of items.
 
 Defined results: a null text has no words; an item without words matches nothing; repeated
 rows each get their result; an empty document table gives no rows, an empty benchmark gives
@@ -26,8 +29,8 @@ from stratafold.llm._common import cut, table, text_or_empty
 #: What separates words: every ASCII character that is not a lower-case letter or a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More item windows than this are joined by a shuffle and not broadcast (about 100 bytes each).
-MAX_BROADCAST_WINDOWS = 500_000
+#: Bytes of the items' windows above which they are joined by a shuffle and not broadcast, and its salts.
+MAX_BROADCAST_BYTES, SALTS = 32 << 20, 32
 #: More documents with hits than this are taken out by a shuffle of the texts (16 bytes each).
 MAX_BROADCAST_HITS = 1_000_000
 
@@ -52,7 +55,10 @@ def _least_hashes(k: int, window: int) -> list[Column]:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, k: int, window: int) -> DataFrame:
-    """(win, len, fp, items): each different window of the items, its fingerprint and its items' ids."""
+    """(win, len, fp, set, items): each different window of the items, its fingerprint, and the items that have it.
+
+    set: a hash of these items, the same for windows of the same ones.
+    """
     h, m = _least_hashes(k, window)
     w = items.select(F.col(id_col).alias("__item"), words(text_col).alias("__w")).where("size(__w) > 0")
     w = w.select("*", h).select("*", m)
@@ -62,7 +68,8 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, k: int, window: i
     short = w.where(f"size(__w) < {window}").select(
         "__item", F.expr("array_join(__w, ' ')").alias("win"), F.size("__w").alias("len")
     ).withColumn("fp", F.xxhash64("len", "win")).select("__item", "fp", "win", "len")
-    return long.union(short).groupBy("win", "len", "fp").agg(F.collect_set("__item").alias("items"))
+    wins = long.union(short).groupBy("win", "len", "fp").agg(F.sort_array(F.collect_set("__item")).alias("items"))
+    return wins.withColumn("set", F.xxhash64(F.lit("items"), "items"))
 
 
 def find_hits(
@@ -83,8 +90,15 @@ def find_hits(
     where ids repeat.
     """
     wins = cut(item_windows(items, item_id_col, item_text_col, k, window))
-    few = wins.count() <= MAX_BROADCAST_WINDOWS
-    near = F.broadcast if few else (lambda x: x)
+    held = wins.agg(F.sum(F.octet_length("win") + 48)).first()[0] or 0
+
+    def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        if held <= MAX_BROADCAST_BYTES:
+            return left.join(F.broadcast(right), on, how)
+        salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = left.withColumn("__salt", F.pmod(F.xxhash64("__id", "__key", "j"), F.lit(SALTS)).cast("int"))
+        return dealt.join(salted, [*on, "__salt"], how).drop("__salt")
+
     short = [r[0] for r in wins.where(F.col("len") < window).select("len").distinct().orderBy("len").collect()]  # under `window` rows
     h, m = _least_hashes(k, window)
     d = docs.select(
@@ -102,16 +116,19 @@ def find_hits(
             f"i -> named_struct('fp', xxhash64({n}, array_join({_part('__w', 'i', str(n))}, ' ')), 'j', i, 'len', {n}, 'ctx', {_part('__w', 'i', str(n))})))"
         ))
     d = d.select("__id", "__key", F.explode(runs).alias("__r")).select("__id", "__key", "__r.*")
-    d = d.join(near(wins.select("fp").distinct()), "fp", "left_semi")
+    d = join(d, wins.select("fp").distinct(), ["fp"], "left_semi")
     d = d.select("__id", "__key", "j", "len", "ctx", F.explode(F.expr("sequence(0, size(ctx) - len)")).alias("__o"))
     d = d.select(
-        "__id", "__key", (F.col("j") + F.col("__o")).alias("start"), "len", F.expr("array_join(slice(ctx, __o + 1, len), ' ')").alias("win")
+        "__id", "__key", "j", (F.col("j") + F.col("__o")).alias("start"), "len", F.expr("array_join(slice(ctx, __o + 1, len), ' ')").alias("win")
     )
-    d = d.join(near(wins.select("win", "len", "items")), ["win", "len"])
-    return d.groupBy("__id", "__key").agg(
-        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    d = join(d, wins.select("win", "len", "set"), ["win", "len"])
+    hits = d.groupBy("__id", "__key").agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"), F.collect_set("set").alias("sets")
     )
+    # a row for each document and set of items, and its items once
+    sets = wins.groupBy("set").agg(F.first("items").alias("items"))
+    named = hits.select("__id", "__key", "spans", F.explode("sets").alias("set")).join(sets, "set")
+    return named.groupBy("__id", "__key").agg(F.first("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def covered(spans: Column) -> Column:

@@ -416,4 +416,26 @@ def keep_heads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), details=True)
+    """The class key is left out, being a hash that SQL cannot give."""
+    return jaccard_join(table(spark, sf_dir, "documents"), details=True).drop("class_key")
+
+
+#: Every pair of sets that share a shingle is compared, and classes are grown link by link.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+u AS (SELECT DISTINCT r, s FROM g),
+k AS (SELECT r, md5(string_agg(s, chr(10) ORDER BY s)) AS set_id, count(*) AS n FROM u GROUP BY r),
+sets AS (SELECT set_id, min(r) AS r, any_value(n) AS n, min(doc_id) AS rep, count(*) AS n_copies, count(DISTINCT text) AS n_texts FROM k JOIN d USING (r) GROUP BY set_id),
+su AS (SELECT sets.set_id, sets.n, u.s FROM sets JOIN u USING (r)),
+p AS (SELECT a.set_id AS x, b.set_id AS y FROM su a JOIN su b ON a.s = b.s AND a.set_id < b.set_id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 8
+      GROUP BY a.set_id, b.set_id, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach(set_id, other) AS (SELECT set_id, set_id FROM sets UNION SELECT reach.set_id, e.y FROM reach JOIN e ON reach.other = e.x),
+c AS (SELECT reach.set_id, min(rep) AS class_id FROM reach JOIN sets ON sets.set_id = reach.other GROUP BY reach.set_id),
+l AS (SELECT e.x AS set_id, count(*) AS n_links, sum(n_texts) AS texts FROM e JOIN sets ON sets.set_id = e.y GROUP BY e.x)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(sets.n_copies, 1) AS BIGINT) AS n_copies,
+  CAST(coalesce(l.texts, 0) + coalesce(sets.n_texts, 1) - 1 AS BIGINT) AS n_text_links
+FROM d LEFT JOIN k USING (r) LEFT JOIN sets USING (set_id) LEFT JOIN c USING (set_id) LEFT JOIN l USING (set_id)
+"""

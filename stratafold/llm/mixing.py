@@ -4,7 +4,8 @@ Tokens (whitespace-delimited words) are summed per source, the sums are turned i
 sizes by water-filling, and the ratio target / source size is the rate at which each document
 of that source is repeated: floor(rate) times, plus one copy drawn by a hash of the document's
 id with probability equal to the fraction. Everything is DataFrame expressions; the only state
-that is computed apart is one row per source.
+that is computed apart is one row per source: these rows, some 50 bytes each and no texts, are
+put in order by one task, which a table with a source for nearly every document would burden.
 
 Defined results:
 * null text counts as size 0; null source is a source of its own, ordered last;

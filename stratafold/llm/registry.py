@@ -21,5 +21,6 @@ ORACLES = {
     "op10_chat_format": chat.OP10_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op7_jaccard_join": jaccard.OP7_SQL,
     "op9_quality_cascade": quality.OP9_SQL,
 }

@@ -48,7 +48,7 @@ def cases(seed, short):
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_report_matches_brute_force(spark, monkeypatch, seed, short, shuffled):
     if shuffled:
-        monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", 0)
     docs, items = cases(seed, short)
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, items int")
     i = spark.createDataFrame(items, "item_id long, text string")
