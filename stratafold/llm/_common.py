@@ -47,14 +47,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a file that cut() writes, where it knows how many rows there are about.
+FILE_ROWS = 25_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Compute df once and cut its lineage: it is written as Parquet to the shared folder and read back.
 
     Unlike a checkpoint it is read by columns, and its size is known to the planner, whose estimates
-    of checkpoints multiply with every join of an iteration.
+    of checkpoints multiply with every join of an iteration. rows: about how many there are, by which
+    small results of a shuffle come in fewer files than it has partitions.
     """
     path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
+    files = df if rows is None else df.coalesce(max(1, min(rows // FILE_ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

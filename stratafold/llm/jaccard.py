@@ -142,16 +142,16 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # --- connected components ------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b) -> (node, comp): the least node of each node's component, for nodes with an edge.
 
     Large-star and small-star contraction: every node above b is tied to the least node that b is
     tied to or is, then every node's lower neighbours and itself to the least of them, until
     nothing changes: about the logarithm of the longest path rounds, each a few shuffles of the
-    edges, written and read back. Nodes of many edges are dealt over salts.
+    edges, written and read back. Nodes of many edges are dealt over salts. rows: about how many edges there are.
     """
     spark = edges.sparkSession
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
     last = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
     while last[0]:
         limit = hot_limit(spark, last[0])
@@ -162,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low, "a", "n", limit)
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        before, e = e, cut(small.where("a <> b").distinct())
+        before, e = e, cut(small.where("a <> b").distinct(), last[0])
         discard(before)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
         if now == last:
@@ -322,13 +322,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
         _least("doc_id", "key").alias("d"), F.count("*").alias("n_copies"), F.count_distinct("key").alias("n_texts"),
         F.first("node").alias("node"), F.first("bands").alias("bands"), F.max("octets").alias("octets"),
     ).select("set_id", F.col("d.doc_id").alias("rep"), F.col("d.key").alias("rep_key"), "n_copies", "n_texts", "node", "bands", "octets")
-    sets = cut(sets)
-    limit = hot_limit(spark, BANDS * sets.count())
+    sets = cut(sets, feats.count())
+    n_sets = sets.count()
+    limit = hot_limit(spark, BANDS * n_sets)
     keys = sets.select("node", F.explode("bands").alias("band"))
     lead = keys.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other"), F.count("*").alias("n")).where("lead <> other").select("band", "lead", "n")
     ties = spread_join(keys, lead, "band", "n", limit).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    comps = cut(components(ties))
-    members = _members(sets, comps, block)
+    comps = cut(components(ties, n_sets), n_sets)
+    members = _members(sets, comps, block, n_sets)
     discard(comps)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     held = members.agg(F.sum(F.lit(64) + 4 * F.size("others"))).first()[0] or 0
@@ -339,7 +340,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     discard(members)
 
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"), F.sum("text_links").alias("text_links"))
-    classes = cut(components(found.select(F.col("set_id").alias("a"), F.col("tie").alias("b"))))
+    n_found = found.count()
+    classes = cut(components(found.select(F.col("set_id").alias("a"), F.col("tie").alias("b")), n_found), n_found)
     own = sets.select("set_id", "rep", "rep_key", "n_copies", "n_texts")
     named = classes.join(own, classes["node"] == own["set_id"]).select("comp", "set_id", "rep", "rep_key")
     heads = named.groupBy("comp").agg(_least("rep", "rep_key", "set_id").alias("h"), F.count("*").alias("n"))
@@ -352,18 +354,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     return feats, whole
 
 
-def _members(sets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+def _members(sets: DataFrame, comps: DataFrame, block: int, rows: int) -> DataFrame:
     """(comp, set_id, __rep, __key, n_texts, blk, others) of the sets to compare: others are the blocks with which they are."""
     spark = sets.sparkSession
     size = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("octets") / F.lit(BLOCK_BYTES))).cast("int")
-    tied = cut(sets.join(comps, "node"))
+    tied = cut(sets.join(comps, "node"), rows)
     blocks = tied.groupBy("comp").agg(size.alias("blocks"), F.count("*").alias("n"))
     limit = hot_limit(spark, BANDS * tied.count())
     dealt = spread_join(tied, blocks, "comp", "n", limit).select(
         "comp", "node", "set_id", F.col("rep").alias("__rep"), F.col("rep_key").alias("__key"), "n_texts", "blocks",
         F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("blk"), F.when(F.col("blocks") > 1, F.col("bands")).alias("bands"),
     )
-    dealt = cut(dealt)
+    dealt = cut(dealt, rows)
     # of groups of several blocks: each band's blocks, or that they are all of its group's
     keys = dealt.where("blocks > 1").select("node", "blk", "blocks", F.explode("bands").alias("band"))
     at = keys.groupBy("band").agg(F.collect_set("blk").alias("at"), F.first("blocks").alias("all"), F.count("*").alias("n")).where(F.size("at") > 1)
@@ -371,7 +373,7 @@ def _members(sets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     shared = spread_join(keys.select("node", "band"), at, "band", "n", limit)
     shared = shared.groupBy("node").agg(F.max("full").alias("full"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     others = F.when(F.col("full"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array_union(F.array("blk"), F.coalesce("at", F.array().cast("array<int>"))))
-    out = cut(dealt.join(shared, "node", "left").select("comp", "set_id", "__rep", "__key", "n_texts", "blk", others.alias("others")))
+    out = cut(dealt.join(shared, "node", "left").select("comp", "set_id", "__rep", "__key", "n_texts", "blk", others.alias("others")), rows)
     discard(tied, dealt)
     return out
 

@@ -134,7 +134,7 @@ def test_chains_are_compared_where_they_share_bands(spark):
     sets = feats.selectExpr("set_id", "doc_id as rep", "key as rep_key", "1L as n_copies", "1L as n_texts", "node", "bands", "octets")
     keys = sets.selectExpr("node", "explode(bands) as band")
     ties = keys.join(keys.groupBy("band").agg({"node": "min"}).withColumnRenamed("min(node)", "b"), "band").selectExpr("node as a", "b")
-    members = jaccard._members(sets, jaccard.components(ties), 4).collect()
+    members = jaccard._members(sets, jaccard.components(ties), 4, 400).collect()
     blocks = max(m.blk for m in members) + 1
     assert sum(len(m.others) for m in members) < 0.6 * len(members) * blocks
 
