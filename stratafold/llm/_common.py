@@ -51,27 +51,34 @@ def small_batches(spark: SparkSession) -> None:
 FILE_ROWS = 25_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Compute df once and cut its lineage: it is written as Parquet to the shared folder and read back.
+def cut(df: DataFrame, rows: int | None = None, forget: bool = False) -> DataFrame:
+    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder.
 
-    Unlike a checkpoint it is read by columns, and its size is known to the planner, whose estimates
-    of checkpoints multiply with every join of an iteration. rows: about how many there are, by which
-    small results of a shuffle come in fewer files than it has partitions.
+    rows: about how many there are, by which small results of a shuffle come in fewer files than it
+    has partitions. forget: the planner's estimate of the size goes too; it multiplies with every
+    join of an iteration and comes to numbers of millions of digits.
     """
-    path = scratch(df.sparkSession, "cut")
-    files = df if rows is None else df.coalesce(max(1, min(rows // FILE_ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
+    spark = df.sparkSession
+    shared_dir(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, min(rows // FILE_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    kept = out = df.checkpoint(eager=True)
+    if forget:
+        out = DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+    out.cut_path = kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(*cuts: DataFrame) -> None:
-    """Remove what cut() wrote, once nothing that will be computed reads it."""
+    """Remove the checkpoints of cut(), once nothing that will be computed reads them."""
     for df in cuts:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.cut_path)
 
 
 #: Rows of a key up to which it is no hot one, however few rows there are.

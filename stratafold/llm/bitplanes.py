@@ -61,9 +61,9 @@ BYTE_PLANES, BIT_PLANES = 1, 2
 #: ids of a block, ids after which a chunk is closed.
 BLOCK, CHUNK_IDS = 1 << 14, 1 << 18
 #: Words in a worker's cache (some 100 bytes each), and their own bytes.
-CACHE_WORDS, CACHE_BYTES = 1 << 18, 8 << 20
+CACHE_WORDS, CACHE_BYTES = 1 << 19, 16 << 20
 #: Bytes of text that are tokenised at a time (or one longer text); fewer where whole texts are encoded.
-PIECE_BYTES, WHOLE_BYTES = 2 << 20, 1 << 18
+PIECE_BYTES, WHOLE_BYTES = 4 << 20, 1 << 18
 #: Document ids sampled for each shard's bounds.
 SAMPLE_IDS = 200
 _HEAD = struct.Struct("<4sBBHIQI")

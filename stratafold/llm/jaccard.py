@@ -148,10 +148,10 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     Large-star and small-star contraction: every node above b is tied to the least node that b is
     tied to or is, then every node's lower neighbours and itself to the least of them, until
     nothing changes: about the logarithm of the longest path rounds, each a few shuffles of the
-    edges, written and read back. Nodes of many edges are dealt over salts. rows: about how many edges there are.
+    edges and a checkpoint. Nodes of many edges are dealt over salts. rows: about how many edges there are.
     """
     spark = edges.sparkSession
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows, forget=True)
     last = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
     while last[0]:
         limit = hot_limit(spark, last[0])
@@ -162,7 +162,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low, "a", "n", limit)
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        before, e = e, cut(small.where("a <> b").distinct(), last[0])
+        before, e = e, cut(small.where("a <> b").distinct(), last[0], forget=True)
         discard(before)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
         if now == last:

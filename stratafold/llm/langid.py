@@ -12,8 +12,9 @@ languages) once, and a batch is (texts by bins) times that matrix, with a column
 each order that counts the text's own n-grams for the norm.
 
 Training texts are a bounded sample of the labelled rows: at most ``TRAIN_ROWS`` in all, spread
-evenly over the languages and chosen by a hash of the id. What is gathered of each is its bit
-set (``BITS`` / 8 bytes), whatever its length.
+evenly over the languages and chosen by a hash of the id; of more than ``TRAIN_ROWS`` languages
+the most frequent are learnt, and the others are never predicted. What is gathered of each is its
+bit set (``BITS`` / 8 bytes), whatever its length.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
 text where there is nothing to learn from; equal scores go to the language that sorts first;
@@ -105,12 +106,14 @@ def presence(piece: Piece, room: np.ndarray | None = None) -> np.ndarray:
 
 
 def _kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x, y: uint8 presence rows."""
+    """x, y: uint8 presence rows; x in slices of 256, as floats take four times the room."""
     out = np.zeros((len(x), len(y)))
     for at, n in zip(STARTS, BINS, strict=True):
-        a, b = x[:, at : at + n].astype(np.float32), y[:, at : at + n].astype(np.float32)
-        norm = np.sqrt(np.outer(np.maximum(a.sum(1), 1), np.maximum(b.sum(1), 1)))
-        out += (a @ b.T) / norm / len(BINS)
+        b = y[:, at : at + n].astype(np.float32)
+        size = np.maximum(b.sum(1), 1)
+        for i in range(0, len(x), 256):
+            a = x[i : i + 256, at : at + n].astype(np.float32)
+            out[i : i + 256] += (a @ b.T) / np.sqrt(np.outer(np.maximum(a.sum(1), 1), size)) / len(BINS)
     return out
 
 

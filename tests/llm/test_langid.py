@@ -1,6 +1,9 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratafold.llm import _bytesnp as B
 from stratafold.llm import langid
@@ -66,3 +69,49 @@ def test_nothing_or_little_to_learn(spark, rows):
     model = langid.train(docs, ~langid.held_out())
     got = langid.predict(docs, model, carry=["doc_id", "lang"], lang_name="p").collect()
     assert [r.p for r in got] == [r[2] or "und" for r in rows]
+
+
+def test_the_query_against_the_long_form(spark):
+    """Landmarks, their kernel's root and the ridge weights one by one, on the presence rows of every document."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64(F.lit("train"), "doc_id").alias("h")).orderBy("h").collect()
+    got = {r.doc_id: r for r in langid.op2_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    pieces = list(langid._pieces(B.strings(pa.array([r.text for r in docs]))))
+    x = np.concatenate([langid.presence(p) for p in pieces]).astype(np.uint8)
+    letter = np.concatenate([p.has_letter for p in pieces])
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs])
+    learn = np.array([not h and r.lang is not None and bool(ok) for r, h, ok in zip(docs, held, letter, strict=True)])
+    y = np.array([r.lang for r in docs], object)
+    share = langid.TRAIN_ROWS // len(set(y[learn]))
+    assert max(np.sum(y[learn] == c) for c in set(y[learn])) <= share  # all are learnt from here
+    languages = sorted(set(y[learn]))
+    rows = np.flatnonzero(learn)
+    marks = x[np.concatenate([rows[y[rows] == c][: langid.LANDMARKS // len(languages)] for c in languages])]
+    values, vectors = np.linalg.eigh(langid._kernel(marks, marks))
+    keep = values > 1e-6 * values.max()
+    root = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
+    phi = langid._kernel(x, marks) @ root
+    weight = np.array([len(rows) / (len(languages) * np.sum(y[rows] == c)) for c in y[rows]])[:, None]
+    target = np.where(y[rows][:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
+    w = np.linalg.solve(phi[rows].T @ (phi[rows] * weight) + langid.RIDGE * np.eye(len(root)), phi[rows].T @ (target * weight))
+    scores = phi @ w
+    for i, r in enumerate(docs):
+        q = got[r.doc_id]
+        assert q.held_out == held[i]
+        if not letter[i]:
+            assert (q.lang_pred, q.score) == ("und", 0)
+            continue
+        best = np.sort(scores[i])[::-1]
+        if len(best) < 2 or best[0] - best[1] > 2e-2:
+            assert q.lang_pred == languages[int(np.argmax(scores[i]))]
+        assert q.score == pytest.approx(np.clip((best[0] + 1) / 2, 0, 1), abs=1e-2)
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """A language that only the end of a long text shows is what its n-grams say, as those of the text in any order."""
+    model = langid.fit(np.concatenate([langid.presence(p) for p in langid._pieces(B.strings(pa.array(["abc abd abe", "xyz xyw xyv"])))]).astype(np.uint8), ["a", "x"], landmarks=2)
+    filler = "1 " * 700_000
+    docs = spark.createDataFrame([(1, filler + "xyz xyw xyv"), (2, "xyz xyw xyv")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in langid.predict(docs, model, carry=["doc_id"]).collect()}
+    assert got[1][0] == got[2][0] == "x"

@@ -1,3 +1,8 @@
+import hashlib
+import math
+import re
+from collections import Counter
+
 import pytest
 
 from stratafold.llm import mixing
@@ -58,3 +63,26 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_documents(docs).collect() == []
+
+
+def brute(rows):
+    """How often each (id, text, source) row is taken: targets by resharing, copies by the id's draw."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    target = level(sizes)
+    out = Counter()
+    for row in rows:
+        rate = target[row[2]] / sizes[row[2]] if sizes[row[2]] else 0.0
+        draw = int(hashlib.md5(f"mix:{'null' if row[0] is None else row[0]}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        out[row] += math.floor(rate) + (draw < rate - math.floor(rate))
+    return +out
+
+
+def test_copies_against_brute_force(spark):
+    real = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = [*real, (9001, None, None), (9002, "a b", None), (None, "c d e", "src0"), (9003, "x", "zz"), (9003, "x", "zz"), real[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text, r.source) for r in mixing.mix_documents(docs).collect())
+    assert got == brute(rows)
