@@ -2,6 +2,12 @@
 
 Belongs to the package's llm part. Each stage takes (spark, docs, sf_dir) and returns a
 DataFrame; all but the last return the columns of ``documents``.
+
+Defined results: rows with a null or empty text, or without a letter, go in the first stage, as no
+language can be told; ids may be null or repeat, and a document is then named by id and text; of
+rows that repeat an id and a text one is left; other columns, null or not, are carried; texts of
+any length are taken whole; an empty table passes all stages empty. What stages write below the
+shared folder is theirs to read once: ``run`` removes a stage's input when its output is written.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratafold.llm import bitplanes, decontam, jaccard, langid, mixing
-from stratafold.llm._common import scratch, table
+from stratafold.llm._common import remove, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = scratch(spark, name)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before = path
+    # the last stage has written its files: nothing reads the documents before it any more
+    remove(spark, before)
     return docs
