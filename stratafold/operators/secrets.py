@@ -35,3 +35,8 @@ def seal(data: Column, key: Column) -> Column:
 def unseal(data: Column, key: Column) -> Column:
     """The content; null under a wrong key."""
     return F.try_aes_decrypt(data, key, F.lit("GCM"))
+
+
+def outcome(data: Column, key: Column) -> Column:
+    """``open``, ``wrong password``, or ``nothing`` where there are no data or no key."""
+    return F.when(data.isNull() | key.isNull(), "nothing").when(unseal(data, key).isNull(), "wrong password").otherwise("open")

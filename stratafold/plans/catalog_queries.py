@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import scalars as S
 from stratafold.operators import archive as A
+from stratafold.operators import secrets as E
 from stratafold.plans.queries import _B, _F, _K, _NEW, _OLD, _P, _blocks, _files, _old_new, list_verbose, query
 from stratafold.sources import catalog as K
 from stratafold.sources import text_sources as X
+from stratafold.streaming.tail import windowed_totals
 
 _CHAIN = "dict:p+lzma:8mb+aes-256"
 
@@ -200,3 +202,19 @@ def recompress_modes(spark, d):
 def recovery_settings(spark, d):
     share = F.when(F.col("o_orderpriority").startswith("1"), "0.1%").when(F.col("o_orderpriority").startswith("2"), "0.01%").otherwise("1%")
     return K.load(spark, d, "orders").select(F.col("o_orderpriority").alias("share_of"), S.recovery_setting(share).alias("setting")).distinct()
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def window_totals(spark, d):
+    """What the stream of events gives, day by day, over the whole table at once."""
+    t = windowed_totals(K.load(spark, d, "events"))
+    return t.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'wrong password' ELSE 'open' END AS outcome FROM benchmark")
+def password_outcomes(spark, d):
+    """Texts sealed with one password, every third opened with another."""
+    b = K.load(spark, d, "benchmark").withColumn("salt", F.sha2(F.col("item_id").cast("string"), 256))
+    key, other = E.derive_keys(b, "item_id", "salt", "open"), E.derive_keys(b, "item_id", "salt", "shut").withColumnRenamed("key", "other")
+    x = b.join(key, "item_id").join(other, "item_id").withColumn("sealed", E.seal(F.col("text"), F.col("key")))
+    return x.select("item_id", E.outcome(F.col("sealed"), F.when(F.col("item_id") % 3 == 0, F.col("other")).otherwise(F.col("key"))).alias("outcome"))

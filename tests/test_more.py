@@ -131,3 +131,18 @@ def test_all_queries_are_registered():
     names = set(entry.queries())
     assert {"list_technical", "script_format", "table_roundtrip", "codec_stress"} <= names
     assert set(entry.oracle_sql()) <= names
+
+
+def test_hooks_around_queries(spark):
+    from stratafold.plans.hooks import EVENTS, Hooks, run
+
+    hooks, seen = Hooks(), []
+    for e in EVENTS:
+        hooks.on(e, lambda p, e=e: seen.append((e, p.get("command"))))
+    got = run(hooks, spark, ["zero_size_split", "recovery_present"], "/root/testdata/sf0.001")
+    assert got == {"zero_size_split": 1, "recovery_present": 3}
+    assert [e for e, _ in seen] == ["program_start", *["command_start", "archive_start", "archive_done", "command_done"] * 2, "program_done"]
+    seen.clear()
+    with pytest.raises(KeyError):
+        run(hooks, spark, ["no such query"], "/root/testdata/sf0.001")
+    assert [e for e, _ in seen] == ["program_start", "command_start", "archive_start", "error", "program_done"]
