@@ -182,3 +182,36 @@ def hmac(text: Column, key: bytes, bits: int) -> Column:
     key = (hashlib.new(f"sha{bits}", key).digest() if len(key) > block else key).ljust(block, b"\0")
     inner = F.sha2(F.concat(F.lit(bytes(k ^ 0x36 for k in key)), text.cast("binary")), bits)
     return F.sha2(F.concat(F.lit(bytes(k ^ 0x5C for k in key)), F.unhex(inner)), bits)
+
+
+def normal_path(path: Column) -> Column:
+    """One kind of separator, none twice and none at the end."""
+    return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), "/+", "/"), "(?<=.)/$", "")
+
+
+# fixed values: octets of the ciphers' keys without a number of their own, and of their blocks
+KEY_OCTETS = {"aes": 32, "blowfish": 56, "serpent": 32, "twofish": 32}
+BLOCK_OCTETS = {"aes": 16, "blowfish": 8, "serpent": 16, "twofish": 16}
+ITERATIONS = 1000
+
+
+def service(method: Column, what: str) -> Column:
+    """What a method answers to ``encryption?``, ``keySize``, ``ivSize``, ``numIterations`` or ``VeryFast?``; 0 where it has no answer."""
+    name = F.regexp_extract(method, "^([a-z]+)", 1)
+    cipher = name.isin(*CIPHERS)
+
+    def by(values: dict[str, int]) -> Column:
+        return F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in values.items()])
+
+    bits, rounds = F.regexp_extract(method, "^[a-z]+-([0-9]{1,4})", 1), F.regexp_extract(method, ":n([0-9]{1,9})", 1)
+    answers = {
+        "encryption?": cipher.cast("int"),
+        "keySize": F.when(bits != "", F.floor(F.when(bits != "", bits).cast("int") / 8)).otherwise(by(KEY_OCTETS)),
+        "ivSize": by(BLOCK_OCTETS),
+        "numIterations": F.when(rounds != "", F.when(rounds != "", rounds).cast("long")).otherwise(F.when(cipher, ITERATIONS)),
+        "VeryFast?": (name.isin("storing", "lzp", "rep", "delta") | method.rlike("^tor:[1-4]($|:)")).cast("int"),
+    }
+    if what not in answers:
+        raise ValueError(f"no service {what}")
+    only = {"keySize", "ivSize", "numIterations"}
+    return F.coalesce(F.when(cipher, answers[what]) if what in only else answers[what], F.lit(0)).cast("long")

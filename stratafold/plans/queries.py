@@ -344,9 +344,7 @@ def normal_chars(spark, d):
 
 @query()
 def datatype_detect(spark, d):
-    docs = K.load(spark, d, "documents")
-    h = P.byte_histogram(docs)
-    return P.datatype(P.order0(h), P.normal_chars(h), P.near_matches(docs))
+    return P.types(K.load(spark, d, "documents"))
 
 
 @query("WITH v AS (SELECT CAST(l_orderkey AS BIGINT) - coalesce(lag(CAST(l_orderkey AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate), 0) AS x FROM lineitem), z AS (SELECT CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS z FROM v) SELECT CAST(CASE WHEN z < 256 THEN 0 WHEN z < 65536 THEN 1 WHEN z < 16777216 THEN 2 ELSE 3 END AS BIGINT) AS slot, CAST(count(*) AS BIGINT) AS n, CAST(8 * slot * count(*) AS BIGINT) AS extra_bits FROM z GROUP BY 1")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import scalars as S
 from stratafold.functions import script as L
+from stratafold.functions.arrow import append
 from stratafold.plans.queries import query
 from stratafold.sources import catalog as K
+from stratafold.sources import text_sources as X
 
 
 @query("SELECT p_partkey, printf('%5d|%-8s|%08.2f|%x', p_partkey, p_brand, p_retailprice, p_partkey) AS line, '\"' || p_name || '\"' AS quoted FROM part")
@@ -116,3 +118,35 @@ def wide_texts(spark, d):
     """Texts in two octets a character and back."""
     b = K.load(spark, d, "benchmark").withColumn("w", F.encode("text", "UTF-16LE"))
     return b.select("item_id", F.md5(F.decode("w", "UTF-16LE").cast("binary")).alias("there_and_back"), F.octet_length("w").cast("long").alias("octets"))
+
+
+_METHOD = "CASE o_custkey % 6 WHEN 0 THEN 'aes-' || (128 + 64 * (o_custkey % 3)) || '/ctr:n' || (o_custkey % 100 + 1) WHEN 1 THEN 'blowfish' WHEN 2 THEN 'twofish-192' WHEN 3 THEN 'tor:' || (o_custkey % 12 + 1) WHEN 4 THEN 'storing' ELSE 'lzma:8mb' END"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey, o_custkey AS k, {_METHOD} AS method FROM orders)
+SELECT o_orderkey, method, CAST(k % 6 < 3 AS BIGINT) AS encryption, CAST(CASE k % 6 WHEN 0 THEN (128 + 64 * (k % 3)) // 8 WHEN 1 THEN 56 WHEN 2 THEN 24 ELSE 0 END AS BIGINT) AS key_size, CAST(CASE k % 6 WHEN 0 THEN 16 WHEN 1 THEN 8 WHEN 2 THEN 16 ELSE 0 END AS BIGINT) AS iv_size,
+  CAST(CASE k % 6 WHEN 0 THEN k % 100 + 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000 ELSE 0 END AS BIGINT) AS iterations, CAST(CASE k % 6 WHEN 3 THEN CASE WHEN k % 12 + 1 <= 4 THEN 1 ELSE 0 END WHEN 4 THEN 1 ELSE 0 END AS BIGINT) AS very_fast FROM m""")
+def method_services(spark, d):
+    """What methods answer to the questions of whoever runs them."""
+    o = K.load(spark, d, "orders").select("o_orderkey", F.expr(_METHOD).alias("method"))
+    m = F.col("method")
+    asked = {"encryption": "encryption?", "key_size": "keySize", "iv_size": "ivSize", "iterations": "numIterations", "very_fast": "VeryFast?"}
+    return o.select("o_orderkey", "method", *[S.service(m, q).alias(n) for n, q in asked.items()])
+
+
+@query("SELECT page_id, CASE WHEN length(p) > 1 AND ends_with(p, '/') THEN left(p, length(p) - 1) ELSE p END AS path FROM (SELECT page_id, regexp_replace(replace(url, '.', '/'), '/+', '/', 'g') AS p FROM pages)")
+def normal_paths(spark, d):
+    """Paths with one kind of separator, here made from addresses whose dots stand for the other kind."""
+    return K.load(spark, d, "pages").select("page_id", S.normal_path(F.translate("url", ".", "\\")).alias("path"))
+
+
+_MACROS = {"#x": "rep:#mb+ccm", "ccm": "lzma:#", "best": "dict+5x", "b#": "grzip:#"}
+
+
+@query("SELECT p_partkey, name, CASE WHEN p_size % 3 = 0 THEN 'rep:' || p_size % 10 || 'mb+lzma:#' WHEN p_size % 3 = 1 THEN 'grzip:' || p_size % 10 || '+storing' ELSE 'dict+rep:5mb+lzma:#' END AS chain FROM (SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN p_size % 10 || 'x' WHEN 1 THEN 'b' || p_size % 10 || '+storing' ELSE 'best' END AS name FROM part)")
+def macro_table(spark, d):
+    """Names of a table replaced by their macros' chains: each different name is resolved once."""
+    digit = (F.col("p_size") % 10).cast("string")
+    name = F.when(F.col("p_size") % 3 == 0, F.concat(digit, F.lit("x"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("b"), digit, F.lit("+storing"))).otherwise("best")
+    p = K.load(spark, d, "part").select("p_partkey", name.alias("name"))
+    return append(p, ["name"], [("chain", "string")], lambda n: (X.resolve_macro(n, _MACROS),))

@@ -257,6 +257,12 @@ def from_store(spark: SparkSession, path: str, table: str = "files", strict: boo
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, schema)
 
 
+def items(spark: SparkSession, path: str) -> Iterator[tuple]:
+    """A cursor over archives' files in order, a few rows on the driver at a time; closing it ends the job."""
+    listed = from_store(spark, path, "files").orderBy("archive", "file_id")
+    yield from listed.toLocalIterator()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, paths: Sequence[str], table: str, strict: bool) -> None:
         self.paths, self.table, self.strict = paths, table, strict

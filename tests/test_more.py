@@ -1,7 +1,12 @@
 import hashlib
 import hmac
+import http.server
 import os
+import re
+import threading
+import urllib.error
 import zlib
+from typing import ClassVar
 
 import numpy as np
 import pytest
@@ -14,6 +19,7 @@ from stratafold.functions import script as L
 from stratafold.operators import archive as A
 from stratafold.operators import codecs as C
 from stratafold.operators import dictionary as D
+from stratafold.operators import profile as P
 from stratafold.operators import records as R
 from stratafold.operators import samples as M
 from stratafold.sources import archive_file, files
@@ -146,3 +152,100 @@ def test_hooks_around_queries(spark):
     with pytest.raises(KeyError):
         run(hooks, spark, ["no such query"], "/root/testdata/sf0.001")
     assert [e for e, _ in seen] == ["program_start", "command_start", "archive_start", "error", "program_done"]
+
+
+def plain_near(t):
+    """The matches place by place."""
+    last, recent, at, covered, found, again = {}, [], 0, 0, 0, 0
+    while at + 4 <= len(t):
+        p = last.get(t[at : at + 4], -256)
+        last[t[at : at + 4]] = at
+        if at - p >= 256:
+            at += 1
+            continue
+        n, d = 4, at - p
+        while at + n < len(t) and t[p + n] == t[at + n]:
+            n += 1
+        found, covered, at = found + 1, covered + n, at + n
+        again += d in recent
+        recent = [d, *[x for x in recent if x != d][:3]]
+    return covered, found, again
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.one_of(st.binary(max_size=400), st.text(alphabet="ab ", max_size=900).map(str.encode), st.lists(st.sampled_from([b"word ", b"other ", b"x" * 7, bytes(300)]), max_size=60).map(b"".join)))
+def test_near_matches_are_those_of_the_plain_loop(t):
+    assert P.near_of(t) == plain_near(t)
+
+
+def test_types_are_those_of_the_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a"), (-4, "\x00" * 3000)], "doc_id long, text string")
+    docs = docs.union(odd)
+    h = P.byte_histogram(docs)
+    want = {r.doc_id: r.type for r in P.datatype(P.order0(h), P.normal_chars(h), P.near_matches(docs)).collect()}
+    assert {r.doc_id: r.type for r in P.types(docs).collect()} == want
+
+
+class _Server(http.server.BaseHTTPRequestHandler):
+    """/r serves ranges, and breaks its first answers off half-way; /w is served whole."""
+
+    data = bytes(range(256)) * 40
+    broken: ClassVar[list[int]] = [2]
+
+    def do_GET(self):
+        part, status = self.data, 200
+        if self.path == "/r" and (m := re.match(r"bytes=([0-9]+)-([0-9]+)", self.headers.get("Range", ""))):
+            a, b = int(m[1]), int(m[2])
+            part, status = self.data[a : b + 1], 206
+            if len(part) > 100 and self.broken[0]:
+                self.broken[0] -= 1
+                part = part[: len(part) // 2]
+        elif self.path not in ("/r", "/w"):
+            self.send_error(404)
+            return
+        self.send_response(status)
+        if status == 206:
+            self.send_header("Content-Range", f"bytes {a}-{b}/{len(self.data)}")
+        self.send_header("Content-Length", str(len(part)))
+        self.end_headers()
+        self.wfile.write(part)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_ranges_behind_a_server(spark):
+    from stratafold.sources import http as web
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://127.0.0.1:{server.server_port}"
+        f = web.RangeFile(f"{root}/r", {"bypass": "127.0.0.1"})
+        assert f.size == 10240 and f.ranges and f.seek(-6, 2) == 10234 and f.read() == _Server.data[-6:]
+        f.seek(1000)
+        assert f.read(500) == _Server.data[1000:1500] and f.tell() == 1500
+        web.register(spark)
+        rows = spark.read.format("http_ranges").option("url", f"{root}/r {root}/w").option("block", 3000).option("bypass", "127.0.0.1").load().collect()
+        ranged = sorted((r.start, bytes(r.data)) for r in rows if r.url.endswith("/r"))
+        assert [a for a, _ in ranged] == [0, 3000, 6000, 9000] and b"".join(x for _, x in ranged) == _Server.data
+        assert [(r.start, r.size, bytes(r.data)) for r in rows if r.url.endswith("/w")] == [(0, 10240, _Server.data)]
+        with pytest.raises(urllib.error.HTTPError):
+            web.RangeFile(f"{root}/none", {"bypass": "127.0.0.1"})
+    finally:
+        server.shutdown()
+
+
+def test_cursor_and_hints(spark, tmp_path):
+    data = archive_file.pack([("tor", [("d", f"{i}.txt", i, b"x" * i) for i in range(5)])])
+    (tmp_path / "one.arc").write_bytes(data)
+    cursor = archive_file.items(spark, str(tmp_path / "one.arc"))
+    assert next(cursor).name == "0.txt" and [r.name for r in cursor] == [f"{i}.txt" for i in range(1, 5)]
+    C.register("upper", bytes.upper, bytes.lower, memory=1 << 20, threads=2)
+    try:
+        assert C.chain_hints("upper+tor") == (1 << 20, 2)
+    finally:
+        del C.CODECS["upper"]
+    with pytest.raises(ValueError, match="no service"):
+        S.service(F.lit("aes"), "colour?")
