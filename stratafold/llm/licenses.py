@@ -10,7 +10,9 @@ are not hashed, so what is joined is few rows; the known digests are a small tab
 rows of (license, text).
 
 Defined results: a null text is an empty one; a text without words has the digest of the empty
-string and no licence; a notice that stands twice counts twice and is named once; rows that
+string and no licence; a notice that stands twice counts twice and is named once; a document that
+is one known line is named both as a whole and by its line; texts under one digest have its first
+name; texts of any length are hashed whole; rows that
 repeat an id each get their own text's result; an empty table gives no rows; other columns are
 not read.
 """

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from stratafold.llm._common import WS_WORD, cut, text_or_empty
 
-#: More sources than this are joined by a shuffle with salted keys instead of a broadcast.
-MAX_BROADCAST_SOURCES = 100_000
+#: Sources of more bytes than this, names and numbers, are joined by a shuffle with salted keys instead of a broadcast.
+MAX_BROADCAST_BYTES = 16 << 20
 #: The salts that spread one hot source over tasks in that case.
 SALTS = 32
 
@@ -101,7 +101,8 @@ def with_copies(
     )
     rates = cut(source_targets(sizes, weights, share, cap))
     rates = rates.select(*[F.col(c).alias(f"__mix_{c}") for c in rates.columns])
-    if rates.count() <= MAX_BROADCAST_SOURCES:
+    held = rates.agg(F.sum(F.coalesce(F.octet_length(F.col("__mix_source").cast("string")), F.lit(0)) + 40)).first()[0] or 0
+    if held <= MAX_BROADCAST_BYTES:
         joined = docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(rates["__mix_source"]))
     else:
         salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")

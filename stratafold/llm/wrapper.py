@@ -54,7 +54,8 @@ SHOWN, MOST, LITTLE, LINKS = 0.3, 0.5, 0.25, 0.5
 GROUP_CHARS = 16 << 20
 #: Cells up to which a matching's table is held whole; larger ones are traced back by halves.
 TABLE_CELLS = 1 << 22
-MAX_BROADCAST_HOSTS = 200_000
+#: Rows of two numbers, for hosts and repeated pages of more than a group, that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _PLAIN = re.compile(r"[^'\">]*")
@@ -661,16 +662,17 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         raise TypeError(f"{id_col} is {kind}; cast it to a long or a string")
 
     def near(few: DataFrame) -> DataFrame:
-        return F.broadcast(few) if few.count() <= MAX_BROADCAST_HOSTS else few
+        return F.broadcast(few) if few.count() <= MAX_BROADCAST_ROWS else few
 
-    # only what more than a group's rows share has a row in these two: an id and url, and a host
+    # only what more than a group's rows share has a row in these two, by its hash: an id and url, and a host
     p = p.withColumn("host", host(F.col("url"))).withColumn("same", F.xxhash64("id", "url"))
     repeated = p.groupBy("same").agg(F.count("*").alias("n")).where(F.col("n") > group)
     repeated = cut(repeated.select(F.col("same").alias("__same"), F.ceil(F.col("n") / F.lit(group)).cast("int").alias("own_parts")))
     p = p.join(near(repeated), p["same"] == F.col("__same"), "left")
-    large = p.where("own_parts is null").groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group)
-    large = cut(large.select(F.col("host").alias("__host"), F.ceil(F.col("n") / F.lit(group)).cast("int").alias("parts")))
-    p = p.join(near(large), p["host"] == F.col("__host"), "left")
+    p = p.withColumn("named", F.xxhash64("host"))
+    large = p.where("own_parts is null").groupBy("named").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    large = cut(large.select(F.col("named").alias("__named"), F.ceil(F.col("n") / F.lit(group)).cast("int").alias("parts")))
+    p = p.join(near(large), p["named"] == F.col("__named"), "left")
     part = F.when(F.col("own_parts").isNull(), F.pmod(F.xxhash64(F.lit("part"), "same"), F.coalesce("parts", F.lit(1)))).otherwise(
         F.pmod(F.monotonically_increasing_id(), F.col("own_parts"))
     )

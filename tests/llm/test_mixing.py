@@ -56,7 +56,7 @@ def test_whole_mix(spark):
 def test_salted_join_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * 3, "s%d" % (i % 5) if i % 7 else None) for i in range(400)], "doc_id long, text string, source string")
     one = sorted(mixing.mix_documents(docs).collect(), key=str)
-    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_BYTES", 0)
     assert sorted(mixing.mix_documents(docs).collect(), key=str) == one
 
 
