@@ -322,14 +322,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
         _least("doc_id", "key").alias("d"), F.count("*").alias("n_copies"), F.count_distinct("key").alias("n_texts"),
         F.first("node").alias("node"), F.first("bands").alias("bands"), F.max("octets").alias("octets"),
     ).select("set_id", F.col("d.doc_id").alias("rep"), F.col("d.key").alias("rep_key"), "n_copies", "n_texts", "node", "bands", "octets")
-    sets = cut(sets, feats.count())
+    sets = cut(sets)
     n_sets = sets.count()
     limit = hot_limit(spark, BANDS * n_sets)
     keys = sets.select("node", F.explode("bands").alias("band"))
     lead = keys.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other"), F.count("*").alias("n")).where("lead <> other").select("band", "lead", "n")
     ties = spread_join(keys, lead, "band", "n", limit).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     comps = cut(components(ties, n_sets), n_sets)
-    members = _members(sets, comps, block, n_sets)
+    members = _members(sets, comps, block)
     discard(comps)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     held = members.agg(F.sum(F.lit(64) + 4 * F.size("others"))).first()[0] or 0
@@ -354,18 +354,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     return feats, whole
 
 
-def _members(sets: DataFrame, comps: DataFrame, block: int, rows: int) -> DataFrame:
+def _members(sets: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     """(comp, set_id, __rep, __key, n_texts, blk, others) of the sets to compare: others are the blocks with which they are."""
     spark = sets.sparkSession
     size = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("octets") / F.lit(BLOCK_BYTES))).cast("int")
-    tied = cut(sets.join(comps, "node"), rows)
+    tied = cut(sets.join(comps, "node"))
     blocks = tied.groupBy("comp").agg(size.alias("blocks"), F.count("*").alias("n"))
     limit = hot_limit(spark, BANDS * tied.count())
     dealt = spread_join(tied, blocks, "comp", "n", limit).select(
         "comp", "node", "set_id", F.col("rep").alias("__rep"), F.col("rep_key").alias("__key"), "n_texts", "blocks",
         F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("blk"), F.when(F.col("blocks") > 1, F.col("bands")).alias("bands"),
     )
-    dealt = cut(dealt, rows)
+    dealt = cut(dealt)
     # of groups of several blocks: each band's blocks, or that they are all of its group's
     keys = dealt.where("blocks > 1").select("node", "blk", "blocks", F.explode("bands").alias("band"))
     at = keys.groupBy("band").agg(F.collect_set("blk").alias("at"), F.first("blocks").alias("all"), F.count("*").alias("n")).where(F.size("at") > 1)
@@ -373,7 +373,7 @@ def _members(sets: DataFrame, comps: DataFrame, block: int, rows: int) -> DataFr
     shared = spread_join(keys.select("node", "band"), at, "band", "n", limit)
     shared = shared.groupBy("node").agg(F.max("full").alias("full"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     others = F.when(F.col("full"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array_union(F.array("blk"), F.coalesce("at", F.array().cast("array<int>"))))
-    out = cut(dealt.join(shared, "node", "left").select("comp", "set_id", "__rep", "__key", "n_texts", "blk", others.alias("others")), rows)
+    out = cut(dealt.join(shared, "node", "left").select("comp", "set_id", "__rep", "__key", "n_texts", "blk", others.alias("others")))
     discard(tied, dealt)
     return out
 
