@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,14 +37,24 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
         try:
             yield from f(batches)
         finally:
-            _POWERS.shrink()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return g
 
 
+def give_back() -> None:
+    """By a function of the module, as a nested one would be sent with copies of the module's values."""
+    _POWERS.shrink()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def held_powers() -> int:
+    return len(_POWERS.up)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(33))
     h = h * _MIX1

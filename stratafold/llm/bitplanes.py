@@ -273,16 +273,26 @@ def _gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def word_encoder(vocabulary: str) -> WordEncoder:
+def word_encoder(vocabulary: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One for each worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = WordEncoder(vocabulary)
+    _ENCODERS[vocabulary].cache_words = cache_words
     return _ENCODERS[vocabulary]
 
 
+def forget_encoders() -> None:
+    """Of this process: a nested function would be sent with a copy of the dictionary and clear that."""
+    _ENCODERS.clear()
+
+
+def held_encoders() -> int:
+    return len(_ENCODERS)
+
+
 def _pieces(col: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes."""
     ends = np.asarray(pc.cumulative_sum(pc.binary_length(col).cast(pa.int64())))
@@ -310,9 +320,9 @@ def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
         yield pa.concat_arrays(names), pa.concat_arrays(texts)
 
 
-def id_type(vocabulary: str, end_id: int) -> np.dtype:
+def id_type(encoder: WordEncoder, end_id: int) -> np.dtype:
     """What holds every id of the vocabulary, and the end id."""
-    return np.dtype("<u2" if max(word_encoder(vocabulary).top, end_id) < 1 << 16 else "<u4")
+    return np.dtype("<u2" if max(encoder.top, end_id) < 1 << 16 else "<u4")
 
 
 CHUNKS = "shard int, chunk long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"
@@ -329,20 +339,24 @@ def shard_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:
     return [got[len(got) * i // shards] for i in range(1, shards)] if got else []
 
 
-def encoded(docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
+def encoded(
+    docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
+    cache_words: int = CACHE_WORDS, piece_bytes: int = PIECE_BYTES, release: bool = False,
+) -> DataFrame:
     """(shard, id, ids binary) of every document, ids as two little-endian octets each or, in larger vocabularies, four, the end id behind them.
 
     Shard s holds ids from bound s - 1 to bound s; rows of an id that is a bound are dealt to the
-    shards on its two sides, and to all between equal bounds, by a hash of their text.
+    shards on its two sides, and to all between equal bounds, by a hash of their text. cache_words and
+    piece_bytes bound what a worker holds; release: a task gives its tokenizer and cache back at its end.
     """
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mix"))
     cuts = np.asarray(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(vocabulary)
-        most = PIECE_BYTES if encoder.by_word else WHOLE_BYTES
-        kind = id_type(vocabulary, end_id)
+        encoder = word_encoder(vocabulary, cache_words)
+        most = piece_bytes if encoder.by_word else min(piece_bytes, WHOLE_BYTES)
+        kind = id_type(encoder, end_id)
 
         def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(0).fill_null(_NONE).to_numpy()
@@ -362,6 +376,8 @@ def encoded(docs: DataFrame, vocabulary: str, bounds: list[int], *, id_col: str
                 for k in range(0, j - i, 500):
                     part = own.slice(k, 500)
                     yield pa.RecordBatch.from_arrays([*part.flatten(), packed.slice(k, 500)], names=["shard", "id", "ids"])
+        if release:
+            forget_encoders()
 
     return picked.mapInArrow(B.tidy(run), "shard int, id long, ids binary")
 
@@ -378,14 +394,17 @@ def write_tokens(
     block: int = BLOCK,
     chunk_ids: int = CHUNK_IDS,
     shards: int | None = None,
+    cache_words: int = CACHE_WORDS,
+    piece_bytes: int = PIECE_BYTES,
+    release: bool = False,
 ) -> None:
-    """Write the ids of all documents, in ascending order of their ids, below path."""
+    """Write the ids of all documents, in ascending order of their ids, below path; the last three as in ``encoded``."""
     spark = docs.sparkSession
     small_batches(spark)
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     bounds = shard_bounds(docs, id_col, shards)
-    rows = encoded(docs, vocabulary, bounds, id_col=id_col, text_col=text_col, end_id=end_id)
-    kind = id_type(vocabulary, end_id)
+    rows = encoded(docs, vocabulary, bounds, id_col=id_col, text_col=text_col, end_id=end_id, cache_words=cache_words, piece_bytes=piece_bytes, release=release)
+    kind = id_type(WordEncoder(vocabulary), end_id)
     ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,14 +491,14 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", of_chunk)
 
 
-def tokenised(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Write docs below the shared folder and read the digests back."""
+def tokenised(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
+    """Write docs below the shared folder and read the digests back; options are those of ``write_tokens``."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = str(public_tokenizers.path("word_bpe_49k.json"))
     path = scratch(docs.sparkSession, "tokens")
-    write_tokens(docs, path, vocabulary)
+    write_tokens(docs, path, vocabulary, **options)
     return read_digests(docs.sparkSession, path)
 
 

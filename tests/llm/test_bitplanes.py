@@ -112,3 +112,26 @@ def test_words_and_tails_are_the_tokenizers(texts):
 
 
 ENCODER = bitplanes.WordEncoder(VOCABULARY)
+
+
+def test_bounds_on_memory_change_no_result(spark):
+    """The same files with a small cache, small pieces and tokenizers given back."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    small = bitplanes.tokenised(docs, cache_words=500, piece_bytes=10_000, release=True).collect()
+    assert sorted(map(tuple, small)) == brute(sorted((r.doc_id, r.text) for r in docs.collect()))
+
+
+def test_workers_give_back_what_they_held(spark):
+    """In the worker's own module: the encoders after release, and the powers that a long text called for."""
+    from stratafold.llm import _bytesnp as B
+
+    def run(batches):
+        for batch in batches:
+            bitplanes.word_encoder(VOCABULARY).encode(pa.array(["some words"], pa.large_string()))
+            B.span_hashes(np.zeros(3 * B.SLICE, np.uint8), np.array([0]), np.array([5]))
+            assert B.held_powers() > 3 * B.SLICE and bitplanes.held_encoders() == 1
+            bitplanes.forget_encoders()
+            B.give_back()
+            yield pa.RecordBatch.from_pydict({"n": [bitplanes.held_encoders()], "p": [B.held_powers()]})
+
+    assert [tuple(r) for r in spark.range(1).coalesce(1).mapInArrow(run, "n long, p long").collect()] == [(0, 1)]
