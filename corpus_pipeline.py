@@ -39,8 +39,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids are written as bit planes; what is read back is returned."""
-    return bitplanes.tokenised(docs)
+    """The documents' token ids are written as bit planes; what is read back is returned.
+
+    Workers have run the other stages before, so they are given less room than an operator of its own.
+    """
+    return bitplanes.tokenised(docs, cache_words=1 << 17, piece_bytes=1 << 20, release=True)
 
 
 STAGES = [
