@@ -53,8 +53,9 @@ def monotone_runs(spark, d):
 @query()
 def model_costs(spark, d):
     """The model that costs least on each text's sample."""
-    x = K.load(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("x"))
-    return append(x, ["x"], [("model", "string")], lambda b: (M.cheapest(b or b""),)).drop("x")
+    sample = F.substring(F.col("text").cast("binary"), 1, M.sample_size(1 << 30, True))
+    x = K.load(spark, d, "documents").select("doc_id", sample.alias("x"))
+    return append(x, ["x"], [("model", "string")], lambda x: [(m,) for m in M.cheapest_each(b or b"" for b in x)], together=True).drop("x")
 
 
 _PLAN = {"$text": "dict+lzma", "$compressed": "storing", "default": "rep+lzma"}
